@@ -152,7 +152,7 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     all_, dimension = _vectors(table, id_col, vector_col, dimension)
     asked = table.where(is_query).select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
     vectors = all_.checkpoint()
-    queries = vectors.join(asked, "id", "left_semi").checkpoint()
+    queries = vectors.join(asked, "id", "left_semi").checkpoint().select(F.col("id").alias("id"), F.col("v").alias("v"))
     square = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     low, high, count = vectors.agg(F.min(square), F.max(square), F.count("*")).first()
     if not count:
@@ -191,7 +191,7 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
         return rows.join(F.broadcast(blocks), "cell").select("cell", "id", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
 
     left = spread(in_cell, "of_vectors", "of_queries", ("vb", "qb")).join(vectors, "id").select("cell", "vb", "qb", "id", "v")
-    right = spread(in_probe, "of_queries", "of_vectors", ("qb", "vb")).join(queries, "id").select("cell", "vb", "qb", "id", "v")
+    right = spread(in_probe, "of_queries", "of_vectors", ("qb", "vb")).join(queries, "id").select("cell", "vb", "qb", F.col("id").alias("id"), F.col("v").alias("v"))
 
     def compare(own: pa.Table, asked_: pa.Table) -> pa.Table:
         if not own.num_rows or not asked_.num_rows:

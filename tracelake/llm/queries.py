@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, decontaminate, lm_score, near_dedup, quality, sentencepiece_codec, substring_dedup, token_count, toxicity
+from . import ann, decontaminate, licenses, lm_score, near_dedup, quality, sentencepiece_codec, substring_dedup, token_count, toxicity
 
 #: Vocabulary files of public tokenizers.
 RANKS, PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,6 +51,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trips(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = licenses.scan(_table(spark, sf_dir, "documents"), path)
+    return found.select("doc_id", "path", "license", "origin", F.round("cosine", 6).alias("cosine"), "from_dir")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +71,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

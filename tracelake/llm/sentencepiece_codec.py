@@ -182,24 +182,24 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode each whole text in one go: ``doc_id``, ``n_ids``, ``ids_sha256`` (of the ids as little-endian 32-bit values, in
-    lowercase hex) and ``same`` (whether decoding gives the text back). A null text has nulls in all but ``doc_id``."""
+    lowercase hex) and ``same`` (whether decoding gives the text back); with ``keep_ids`` also ``ids``. A null text has nulls in all but ``doc_id``."""
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, known = Codec(pieces.value), {}
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["body"], strict=True):
-                text = text.as_py()
-                if text is None:
-                    rows.append({"doc_id": doc})
-                    continue
-                ids = codec.encode(text, known)
-                rows.append({"doc_id": doc, "n_ids": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "same": codec.decode(ids) == text})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
-
-    out = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_sha256", pa.string()), ("same", pa.bool_())])
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, same boolean")
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                rows = []
+                for text in part["body"].to_pylist():
+                    ids = None if text is None else codec.encode(text, known)
+                    rows.append((None,) * 4 if ids is None else (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), codec.decode(ids) == text, ids if keep_ids else None))
+                columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=names)
+
+    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))[: 3 + keep_ids]
+    names = ["doc_id", "n_ids", "ids_sha256", "same", "ids"][: 4 + keep_ids]
+    ddl = "doc_id long, n_ids long, ids_sha256 string, same boolean" + ", ids array<int>" * keep_ids
+    return _texts(docs, id_col, text_col).mapInArrow(run, ddl)

@@ -44,10 +44,10 @@ def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHAR
     key = F.when(doc.isNull(), F.xxhash64(body)).otherwise(F.xxhash64(doc))
     row = F.struct(*rest, F.lit(None).cast("int").alias("_"))
     parts = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), doc.alias("doc"), body.alias("body"), row.alias("row"))
-    return parts.withColumn("row", F.col("row").cast(_nullable(parts.schema["row"].dataType))), shards
+    return parts.withColumn("row", F.col("row").cast(nullable(parts.schema["row"].dataType))), shards
 
 
-def _nullable(kind: StructType) -> StructType:
+def nullable(kind: StructType) -> StructType:
     """The same type with nulls allowed everywhere, as Arrow tables that come back from a worker have it."""
     text = kind.json()
     for key in ("nullable", "containsNull", "valueContainsNull"):

@@ -191,7 +191,7 @@ def _automaton(found: pa.Table):
     return automaton
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 6, layout: bool = False) -> DataFrame:
     """Each document without the words that lie in a passage which a document with a smaller id has too.
 
     Words are runs of non-space characters, unchanged. A word goes if one of the windows of ``window``
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window or passage once, so a passage that all documents share is one entry a shard.
 
     One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay, joined by
-    one space), ``spans`` (begin and end, in words, of what went), ``row`` (the other columns). A null or empty
+    one space; with ``layout``, a document that loses nothing keeps its text as it is), ``spans`` (begin and end, in words, of what went), ``row`` (the other columns). A null or empty
     text has no words and an empty ``kept``. A row without an id loses nothing and owns nothing. Rows that repeat an id
     are separate documents, neither of them smaller. An empty table gives no rows.
     """
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             sizes.append(len(words))
             removed.append(int(gone.sum()))
-            kept.append(b" ".join(words[k] for k in np.flatnonzero(~gone)).decode() if len(edges) else text)
+            kept.append(b" ".join(words[k] for k in np.flatnonzero(~gone)).decode() if len(edges) else body.as_py() if layout else text)
             spans.append([{"begin": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
         return pa.table({"doc_id": table["doc"], "n_words": sizes, "n_removed": removed, "kept": kept, "spans": pa.array(spans, spans_type), "row": table["row"]}, schema=schema)
 

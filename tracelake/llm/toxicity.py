@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .labelled import sample
 from .quality import decided
+from .shards import nullable
 from .textarrays import LOWER, mix, slices, text_bytes
 
 #: Lengths of n-grams in bytes of lower-cased UTF-8; n-grams chosen; how many documents of a part must have one.
@@ -156,3 +157,19 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     return decided(texts.mapInArrow(run, "doc_id long, score double"), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, bound: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score stays under ``threshold``; texts are scored where they are read, without a join."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, bound, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(model.value.scores(batch["body"]) < threshold)
+            yield batch.select(["row", "body"]).filter(keep)
+
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(None).cast("int").alias("_"))
+    rows = docs.select(rest.alias("row"), F.col(f"`{text_col}`").alias("body"))
+    kind = nullable(rows.schema["row"].dataType)
+    kept = rows.withColumn("row", F.col("row").cast(kind)).mapInArrow(run, f"row {kind.simpleString()}, body string")
+    return kept.select(*[F.col("body").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
