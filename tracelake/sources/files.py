@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ def read_text_file(spark: SparkSession, path: str) -> str | None:
 def list_files(spark: SparkSession, root: str, names: str = "*", folder: str | None = None) -> DataFrame:
     """(path, length) of the files below ``root`` whose base name matches ``names``, as paths relative to it.
 
-    With ``folder``, only files directly in that folder. Contents aren't read.
+    With ``folder``, only files directly in that folder. Contents aren't read. The scan itself leaves out empty files, so the paths come from
+    its file index (which the driver holds anyway) and the lengths from the scan.
     """
-    start = hadoop(spark, root)[1].toUri().getPath().rstrip("/")
     if folder is None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     else:
@@ -46,18 +47,24 @@ def list_files(spark: SparkSession, root: str, names: str = "*", folder: str | N
         if not exists(spark, pattern):
             return spark.createDataFrame([], "path string, length long")
         files = spark.read.format("binaryFile").load(pattern)
-    plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    return files.select(F.substr(plain, F.lit(len(start) + 2)).alias("path"), "length")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
+    full = listed.select(_relative(spark, root, "path").alias("path"))
+    sized = files.select(_relative(spark, root, "path").alias("path"), "length")
+    return full.join(sized, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def _relative(spark: SparkSession, root: str, column: str):
+    """A full path without its scheme and ``root``."""
+    start = hadoop(spark, root)[1].toUri().getPath().rstrip("/")
+    return F.substr(F.regexp_replace(column, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), F.lit(len(start) + 2))
 
 
 def read_contents(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
     """(path, text) of the given relative paths; only these files are opened."""
     if not paths:
         return spark.createDataFrame([], "path string, text string")
-    start = hadoop(spark, root)[1].toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths])
-    plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    return files.select(F.substr(plain, F.lit(len(start) + 2)).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(_relative(spark, root, "path").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def marker_revision(spark: SparkSession, root: str) -> str | None:
