@@ -14,6 +14,8 @@ from .textarrays import mix, ngram_hashes, slices, text_words
 
 #: Bins of a signature, and how likely a pair exactly at the threshold may share no bucket.
 BINS, MISS = 384, 1e-6
+#: Stars that each bucket with several components gets at least.
+STARS = 4
 
 
 def rows_in_band(percent: int) -> int:
@@ -77,7 +79,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int) -
                 sets = shingle_sets(batch["body"].slice(low, high - low), k)
                 some = [s for s in sets if len(s)]
                 found = bands(some, rows)
-                prints = [np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], dtype=np.uint64).tobytes() if len(s) else None for s in sets]
+                prints = [_print(s) for s in sets]
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum((sizes > 0) * (BINS // rows))]).astype(np.int32)
                 columns = [batch["doc"].slice(low, high - low), pa.array(sizes), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, found.ravel())]
@@ -88,18 +90,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int) -
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(v, shingles) of the wanted documents (v, print), from their whole texts."""
+    """(v, shingles) of the wanted classes (v, print), from the whole text of the document that represents each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch["body"]):
-                sets = shingle_sets(batch["body"].slice(low, high - low), k)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                shingles = pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch["v"].slice(low, high - low), shingles], names=["v", "shingles"])
+                part = batch.slice(low, high - low)
+                sets = [s if _print(s) == own else None for s, own in zip(shingle_sets(part["body"], k), part["print"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["v"], pa.array([None if s is None else s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["v", "shingles"])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("v"), F.col(f"`{text_col}`").alias("body"))
-    return texts.join(wanted, "v", "left_semi").select("v", "body").mapInArrow(cut, "v long, shingles array<long>").groupBy("v").agg(F.max("shingles").alias("shingles"))
+    return texts.join(wanted, "v").select("v", "body", "print").mapInArrow(cut, "v long, shingles array<long>").where("shingles is not null")
+
+
+def _print(own: np.ndarray) -> bytes | None:
+    """A 128-bit fingerprint of a set."""
+    return np.array([mix(own).sum(), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum()], dtype=np.uint64).tobytes() if len(own) else None
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,7 +115,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(ends_b, "b").join(ends_a, "a")
     n_a, n_b, common = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
     near = F.when(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b), 100 * common >= percent * (n_a + n_b - common)).otherwise(False)
-    return both.where(near).select("a", "b")
+    return both.where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -117,11 +123,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal sets are one class, represented by its smallest id. One-permutation MinHash with
     optimal densification gives each class BINS values, cut into bands; classes that agree in a band share a
-    bucket. In each bucket the smallest member is the star's centre: only (centre, member) pairs are
-    compared, on full sets. Where members besides the centre are still in different components, the rest of
-    the bucket is compared too, again in stars: the next centres are drawn by hash, eight times as many each
-    round, and only pairs across components whose set sizes allow a link are made. So no pair that shares a
-    bucket is lost, and a bucket of true copies costs one star.
+    bucket. In each bucket the smallest member is the centre of a star: only (centre, member) pairs are
+    compared, on full sets. While members of a bucket are still in different components, it gets further stars, with centres
+    drawn by hash, each compared with the members of other components whose set sizes allow a link; this stops when STARS of them
+    have been drawn and the last linked nothing. So a bucket costs a few pairs a member, however many members it has, and a bucket
+    with no more members than stars is compared in full. A pair at the threshold shares about a dozen buckets and is missed only if none of its
+    stars links the two, directly or through others.
 
     One row per distinct id: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links),
     ``kept`` (whether that is the document itself). Words are lower-cased (A-Z); fewer than ``k`` words are one
@@ -136,23 +143,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("v", "n", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("v").alias("centre"), F.max("v").alias("last")).where("centre < last").select("bucket", "centre")
     shared = members.join(centres, "bucket").checkpoint()  # only of buckets with company
-    sets = full_sets(docs, shared.select("v").distinct(), id_col, text_col, k).checkpoint()
-    links = confirmed(shared.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), sets, percent).checkpoint()
-    labels = connected_components(links)
-
-    rest = shared.where("v <> centre").withColumn("level", _level(F.col("v")))
-    rest = _still_open(rest, labels)
-    step = 0
-    while not rest.isEmpty():
-        first = rest.where(F.col("top") - F.col("level") <= 3 * step).select("bucket", F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        pairs = rest.join(first, "bucket").where((F.col("label") != F.col("label_a")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
-        pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        more = confirmed(pairs, sets, percent).checkpoint()
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected_components(links)
-        rest = _still_open(rest.where(F.col("top") - F.col("level") > 3 * step).drop("label"), labels, fresh=False)
-        step += 1
+    wanted = shared.select("v").distinct()
+    sets = full_sets(docs, wanted.join(classes.select("v", "print"), "v"), id_col, text_col, k).checkpoint()
+    links = confirmed(shared.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), sets, percent)
+    labels = wanted.join(connected_components(links), "v", "left").select("v", F.coalesce("component", "v").alias("component")).checkpoint()
+    members, star, linked = shared.select("bucket", "v", "n"), 1, True
+    while star < STARS or linked:
+        more = confirmed(_next_star(members, labels, star, percent), sets, percent)
+        ends_a, ends_b = labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), labels.select(F.col("v").alias("b"), F.col("component").alias("cb"))
+        between = more.join(ends_a, "a").join(ends_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct().checkpoint()
+        linked = not between.isEmpty()
+        if linked:
+            names = connected_components(between).select(F.col("v").alias("component"), F.col("component").alias("renamed"))
+            labels = labels.join(names, "component", "left").select("v", F.coalesce("renamed", "component").alias("component")).checkpoint()
+        star += 1
 
     reps = classes.select("print", "v").join(labels, "v", "left").select("print", F.coalesce("component", "v").alias("component"))
     found = signed.select("doc", "n", "print").join(reps, "print", "left")
@@ -160,17 +164,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
 
 
-def _level(v):
-    """How many of the low bits of the vertex's hash are zero: each level has half as many members as the one below."""
-    hashed = F.pmod(F.xxhash64(v), F.lit(1 << 40))
-    return F.bit_count(hashed.bitwiseAND(-hashed) - 1)
-
-
-def _still_open(rest: DataFrame, labels: DataFrame, fresh: bool = True) -> DataFrame:
-    """Members of buckets in which two components are left to compare, with their labels and the bucket's top level."""
-    labelled = rest.join(labels, "v", "left").withColumn("label", F.coalesce("component", "v")).drop("component")
-    facts = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("level").alias("highest")).where("low < high")
-    joined = labelled.join(facts, "bucket")
-    if fresh:
-        joined = joined.withColumn("top", F.col("highest"))
-    return joined.select("bucket", "v", "n", "level", "top", "label").checkpoint()
+def _next_star(members: DataFrame, labels: DataFrame, star: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre drawn by hash and the members of other components, in buckets that have more than one component."""
+    labelled = members.join(labels, "v")
+    drawn = F.min_by(F.struct("v", "n", "component"), F.xxhash64("v", "bucket", F.lit(star)))
+    stars = labelled.groupBy("bucket").agg(drawn.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "c")
+    fits = (F.col("component") != F.col("c.component")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+    return labelled.join(stars, "bucket").where(fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
