@@ -4,83 +4,118 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shards import arrow_schema, sharded
-from .textarrays import bucket_cuts, inside, ngram_hashes, pack, pack_sorted, text_words, unpack, unpack_sorted
+from .textarrays import bucket_cuts, inside, ngram_hashes, pack_sorted, squeeze, text_words, unpack_sorted, unsqueeze
 
-ASKED = "bucket int, shard int, grams binary, counts binary"
-TOLD = "shard int, bucket int, totals binary"
+#: Bytes of text in a shard here: larger shards send fewer distinct n-grams in all.
+SHARD = 6_000_000
+
+#: A shard's distinct n-grams of a level with its counts; or (without n-grams) totals that it has been told, sent on.
+ASKED = "bucket int, shard int, level int, part int, grams binary, counts binary"
+TOLD = "shard int, level int, part int, totals binary"
 SCORED = "doc long, n_words long, known double, unigrams long"
 
 
-def _grams(body: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n = 1..order, the n-gram hash that starts at each position, and the texts' first positions."""
-    words, first = text_words(body, lower=True)
-    return [ngram_hashes(words, n) for n in range(1, order + 1)], first
+class Grams:
+    """A shard's n-grams by position, and the totals of those that may reach ``least``.
 
+    Level 2 is all words and pairs. An n-gram of a higher level is asked for only if both (n - 1)-grams in it
+    occur ``least`` times or more in the whole table: otherwise it can't either.
+    """
 
-def _distinct(grams: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's distinct n-grams of all orders in ascending hashes, and how often each occurs."""
-    return np.unique(np.concatenate([g[inside(first, n)] for n, g in enumerate(grams, 1)]), return_counts=True)
+    def __init__(self, body: pa.Array, order: int, least: int):
+        words, self.first = text_words(body, lower=True)
+        self.by_order = [ngram_hashes(words, n) for n in range(1, order + 1)]
+        self.fits = [inside(self.first, n) for n in range(1, order + 1)]
+        self.totals = [np.zeros(len(g)) for g in self.by_order]
+        self.least = least
+
+    def places(self, level: int) -> list[tuple[int, np.ndarray]]:
+        """(n, positions) of the n-grams of a level."""
+        if level == 2:
+            return [(n, np.flatnonzero(self.fits[n - 1])) for n in range(1, min(2, len(self.by_order)) + 1)]
+        enough = self.totals[level - 2] >= self.least
+        size = len(self.by_order[level - 1])
+        return [(level, np.flatnonzero(self.fits[level - 1] & enough[:size] & enough[1 : size + 1]))]
+
+    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of a level ascending, which of them each position has, and how often each occurs."""
+        return np.unique(np.concatenate([self.by_order[n - 1][at] for n, at in self.places(level)]), return_inverse=True, return_counts=True)
+
+    def learn(self, told: pa.Table, levels: int) -> None:
+        """Take in what buckets answered, level by level up to ``levels``."""
+        rows = sorted(zip(told["level"].to_pylist(), told["part"].to_pylist(), told["totals"].to_pylist(), strict=True), key=lambda r: r[:2])
+        for level in range(2, levels + 1):
+            totals = np.concatenate([np.zeros(0, dtype=np.uint64), *(unsqueeze(blob) for own, _, blob in rows if own == level)]).astype(np.float64)
+            which, begin = self.distinct(level)[1], 0
+            for n, at in self.places(level):
+                self.totals[n - 1][at] = totals[which[begin : begin + len(at)]]
+                begin += len(at)
 
 
 def count_and_score(docs: DataFrame, id_col: str, text_col: str, order: int, alpha: float, min_count: int) -> DataFrame:
     """Per document, the log scores that don't depend on the corpus size, and how many words fell back to their own count."""
-    parts, shards = sharded(docs, id_col, text_col, carry=False)
-    buckets = max(1, shards // 2)
-
-    def count(table: pa.Table) -> pa.Table:
-        grams, first = _grams(table["body"].combine_chunks(), order)
-        seen, counts = _distinct(grams, first)
-        cuts = bucket_cuts(seen, buckets)
-        full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.table(
-            {
-                "bucket": full,
-                "shard": [table["shard"][0].as_py()] * len(full),
-                "grams": [pack_sorted(seen[cuts[b] : cuts[b + 1]]) for b in full],
-                "counts": [pack(counts[cuts[b] : cuts[b + 1]]) for b in full],
-            },
-            schema=arrow_schema(ASKED),
-        )
+    parts, shards = sharded(docs, id_col, text_col, shard_bytes=SHARD, carry=False)
+    buckets = shards
+
+    def ask(level: int):
+        def run(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
+            shard = table["shard"][0].as_py()
+            own = Grams(table["body"].combine_chunks(), order, min_count)
+            if told is not None:
+                own.learn(told, level - 1)
+            seen, _, counts = own.distinct(level)
+            cuts = bucket_cuts(seen, buckets)
+            full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            rows = [(b, shard, level, b, pack_sorted(seen[cuts[b] : cuts[b + 1]]), squeeze(counts[cuts[b] : cuts[b + 1]])) for b in full]
+            if told is not None:
+                rows += [((shard + k) % buckets, shard, x["level"], x["part"], None, x["totals"]) for k, x in enumerate(told.to_pylist())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(ASKED), strict=True)], schema=arrow_schema(ASKED))
+
+        return run
 
     def add_up(table: pa.Table) -> pa.Table:
-        grams = [unpack_sorted(x.as_py()) for x in table["grams"]]
-        counts = np.concatenate([unpack(x.as_py()) for x in table["counts"]])
-        _, which = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(which, weights=counts).astype(np.uint64)[which]
-        cuts = np.cumsum([len(g) for g in grams])[:-1]
-        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "totals": [pack(x) for x in np.split(totals, cuts)]}, schema=arrow_schema(TOLD))
+        asked = table.filter(pc.is_valid(table["grams"]))
+        sent_on = table.filter(pc.is_null(table["grams"]))
+        out = [sent_on.select(["shard", "level", "part", "counts"]).rename_columns(["shard", "level", "part", "totals"])]
+        if asked.num_rows:
+            grams = [unpack_sorted(x.as_py()) for x in asked["grams"]]
+            counts = np.concatenate([unsqueeze(x.as_py()) for x in asked["counts"]])
+            _, which = np.unique(np.concatenate(grams), return_inverse=True)
+            totals = np.bincount(which, weights=counts).astype(np.uint64)[which]
+            blobs = [squeeze(x) for x in np.split(totals, np.cumsum([len(g) for g in grams])[:-1])]
+            out.append(asked.select(["shard", "level", "part"]).append_column("totals", pa.array(blobs, pa.binary())))
+        return pa.concat_tables([t.cast(arrow_schema(TOLD)) for t in out])
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        grams, first = _grams(table["body"].combine_chunks(), order)
-        seen, _ = _distinct(grams, first)
-        answers = dict(zip(told["bucket"].to_pylist(), told["totals"].to_pylist(), strict=True))
-        totals = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(answers[b]) for b in sorted(answers))]).astype(np.float64)
-        size = int(first[-1])
-        place = np.arange(size) - np.repeat(first[:-1], np.diff(first))
-        longest = np.minimum(place + 1, order)
-        value, open_, unigrams = np.zeros(size), np.ones(size, dtype=bool), np.zeros(size, dtype=bool)
-        count_at = [totals[np.minimum(np.searchsorted(seen, g), max(len(seen) - 1, 0))] if len(g) else np.zeros(0) for g in grams]
+        own = Grams(table["body"].combine_chunks(), order, min_count)
+        own.learn(told, max(order, 2))
+        first, size = own.first, int(own.first[-1])
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        longest = np.minimum(np.arange(size) - first[text] + 1, order)
+        value, unscored = np.zeros(size), np.ones(size, dtype=bool)
         for n in range(order, 1, -1):
-            begin = np.flatnonzero(open_[n - 1 :] & (longest[n - 1 :] >= n))
-            begin = begin[count_at[n - 1][begin] >= min_count]
+            begin = np.flatnonzero(own.fits[n - 1] & (own.totals[n - 1] >= min_count) & unscored[n - 1 :])
             end = begin + n - 1
-            value[end] = np.log(count_at[n - 1][begin] / count_at[n - 2][begin]) + (longest[end] - n) * np.log(alpha)
-            open_[end] = False
-        value[open_] = np.log(count_at[0][open_]) + (longest[open_] - 1) * np.log(alpha)
-        unigrams[open_] = True
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            value[end] = np.log(own.totals[n - 1][begin] / own.totals[n - 2][begin]) + (longest[end] - n) * np.log(alpha)
+            unscored[end] = False
+        value[unscored] = np.log(own.totals[0][unscored]) + (longest[unscored] - 1) * np.log(alpha)
         known = np.bincount(text, weights=value, minlength=len(first) - 1)
         return pa.table(
-            {"doc": table["doc"], "n_words": np.diff(first), "known": known, "unigrams": np.bincount(text[unigrams], minlength=len(first) - 1)},
+            {"doc": table["doc"], "n_words": np.diff(first), "known": known, "unigrams": np.bincount(text[unscored], minlength=len(first) - 1)},
             schema=arrow_schema(SCORED),
         )
 
-    told = parts.groupBy("shard").applyInArrow(count, ASKED).groupBy("bucket").applyInArrow(add_up, TOLD)
-    return parts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(score, SCORED)
+    by_shard = parts.groupBy("shard")
+    told = by_shard.applyInArrow(lambda table: ask(2)(table), ASKED).groupBy("bucket").applyInArrow(add_up, TOLD)
+    for level in range(3, order + 1):
+        told = by_shard.cogroup(told.groupBy("shard")).applyInArrow(ask(level), ASKED).groupBy("bucket").applyInArrow(add_up, TOLD)
+    return by_shard.cogroup(told.groupBy("shard")).applyInArrow(score, SCORED)
 
 
 def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -93,7 +128,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Count tables are partitioned by the n-gram's hash: each shard of documents sends its distinct n-grams
     with its own counts (so a frequent n-gram is one entry a shard), the bucket of a hash adds them up and
-    answers each shard, and the shard looks up its n-grams and sums per document.
+    answers each shard, and the shard joins the answers to its n-grams and sums per document. Pairs and words go first; longer
+    n-grams only where all that is in them is frequent enough.
 
     One row per input row: ``doc_id`` (null stays null), ``n_words``, ``log_score`` (0 without words),
     ``mean_log_score`` (null without words). A null text has no words. Repeated rows are counted as often as

@@ -7,6 +7,7 @@ those are ASCII, cutting the UTF-8 bytes cuts the text in the same places.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,15 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel() + np.frombuffer(blob, dtype=np.uint64, count=1)[0]
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """pack() for values that are mostly small, deflated."""
+    return zlib.compress(pack(values), 1)
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    return unpack(zlib.decompress(blob))
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending hashes, as differences."""
     return pack(np.diff(values, prepend=np.uint64(0))) if len(values) else b""
