@@ -75,4 +75,48 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_lm_score": f"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents)),
+g AS (SELECT doc_id, i, w1, lag(w1) OVER d AS w2, lag(w1, 2) OVER d AS w3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w1, count(*) AS n1 FROM g GROUP BY 1),
+c2 AS (SELECT w2, w1, count(*) AS n2 FROM g WHERE i >= 2 GROUP BY 1, 2),
+c3 AS (SELECT w3, w2, w1, count(*) AS n3 FROM g WHERE i >= 3 GROUP BY 1, 2, 3),
+s AS (
+  SELECT g.doc_id, CASE
+    WHEN g.i >= 3 AND c3.n3 >= 2 THEN ln(c3.n3 / CAST(before.n2 AS DOUBLE))
+    WHEN g.i >= 2 AND c2.n2 >= 2 THEN ln(c2.n2 / CAST(one.n1 AS DOUBLE)) + (least(g.i, 3) - 2) * ln(CAST(0.4 AS DOUBLE))
+    ELSE ln(c1.n1 / CAST((SELECT count(*) FROM w) AS DOUBLE)) + (least(g.i, 3) - 1) * ln(CAST(0.4 AS DOUBLE)) END AS score
+  FROM g JOIN c1 ON c1.w1 = g.w1 LEFT JOIN c1 AS one ON one.w1 = g.w2 LEFT JOIN c2 ON c2.w2 = g.w2 AND c2.w1 = g.w1
+  LEFT JOIN c2 AS before ON before.w2 = g.w3 AND before.w1 = g.w2 LEFT JOIN c3 ON c3.w3 = g.w3 AND c3.w2 = g.w2 AND c3.w1 = g.w1)
+SELECT d.doc_id, count(s.score) AS n_words, round(coalesce(sum(s.score), 0), 5) AS log_score
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op2_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER)}, []) AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, min(a.n) AS na, min(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT k.b, reach.r FROM reach JOIN both_ways k ON k.a = reach.doc_id),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.doc_id = s.doc_id""",
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM w, unnest(range(1, len(ws) - 11)) r(i)),
+o AS (SELECT win, min(doc_id) AS owner FROM v GROUP BY win),
+f AS (SELECT v.doc_id, v.i FROM v JOIN o ON o.win = v.win WHERE owner < v.doc_id),
+m AS (
+  SELECT t.doc_id, t.i, t.word, max(CASE WHEN f.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.i = t.i)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, count(m.i) FILTER (WHERE gone = 1) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN m ON m.doc_id = w.doc_id GROUP BY w.doc_id, w.ws""",
+}
