@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +37,25 @@ def tiles(item: np.ndarray, doc: np.ndarray, shortest: int) -> list[tuple[int, i
     """Greedy string tiling of two token sequences: (place in item, place in doc, length), no token used twice.
 
     Running Karp-Rabin: windows of one length are matched by hash and grown to the right; the longest matches are
-    marked first; the scan repeats while it marks anything, and then with windows half as long, down to ``shortest``.
+    marked first; then the scan repeats with windows half as long, down to ``shortest``.
     """
     used_item, used_doc = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
     found, length = [], len(item)
     while length >= shortest:
-        matches = _matches(item, doc, used_item, used_doc, length)
-        marked = False
-        for size, i, j in matches:
-            if not (used_item[i : i + size].any() or used_doc[j : j + size].any()):
-                used_item[i : i + size] = used_doc[j : j + size] = marked = True
-                found.append((i, j, size))
-        if not marked:
-            length = max(shortest, length // 2) if length > shortest else 0
+        queue = [(-size, i, j) for size, i, j in _matches(item, doc, used_item, used_doc, length)]
+        heapq.heapify(queue)
+        while queue:  # longest first, then by place; what a marked match has taken tokens from comes back as its free parts
+            size, i, j = heapq.heappop(queue)
+            taken = used_item[i : i - size] | used_doc[j : j - size]
+            if not taken.any():
+                used_item[i : i - size] = used_doc[j : j - size] = True
+                found.append((i, j, -size))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+            for low, high in edges.reshape(-1, 2).tolist():
+                if high - low >= length:
+                    heapq.heappush(queue, (low - high, i + low, j + low))
+        length = max(shortest, length // 2) if length > shortest else 0
     return sorted(found)
 
 
