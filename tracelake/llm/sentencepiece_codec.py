@@ -146,6 +146,17 @@ class Codec:
         return self.flat[place].tobytes()[1:].decode("utf-8", errors="replace")
 
 
+_made: dict[str, tuple[Codec, dict[str, bytes]]] = {}
+
+
+def _codec(model: str, pieces: list[tuple[str, float, str]]) -> tuple[Codec, dict[str, bytes]]:
+    """The codec of a model and the segments it remembers, kept by a Python worker from task to task."""
+    if model not in _made:
+        _made.clear()
+        _made[model] = Codec(pieces), {}
+    return _made[model]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
 
@@ -159,7 +170,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = Codec(pieces.value), {}
+        codec, known = _codec(model, pieces.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
@@ -174,7 +185,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     pieces = encoded.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec, _ = _codec(model, pieces.value)
         for batch in batches:
             texts = [None if ids is None else codec.decode(np.array(ids, dtype=np.int64)) for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -188,7 +199,7 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = Codec(pieces.value), {}
+        codec, known = _codec(model, pieces.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
