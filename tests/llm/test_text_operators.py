@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,47 @@ def test_a_family_around_the_threshold(spark):
     assert sorted(map(tuple, found.collect())) == expected_groups(rows, 3, 85)
 
 
+def boilerplate(families, size):
+    """Families of texts below the threshold with each other, each with one pair above it."""
+    rows = []
+    for f in range(families):
+        base, pick = prose(500 + f, 150, 10_000).split(), random.Random(f)
+        for n in range(size):
+            own = list(base)
+            one, other = n == size // 3, n == size // 2
+            for at in (3, 6) if one else (9, 12) if other else pick.sample(range(15, 147, 3), 4):
+                own[at] = f"edit{f}x{n}x{at}"
+            rows.append((f * size + n, " ".join(own)))
+    return rows
+
+
+def test_a_pair_among_many_related_texts(spark):
+    rows = boilerplate(5, 800)
+    found = near_dedup.near_duplicates(docs(spark, rows), k=3, percent=85)
+    linked = {r["doc_id"]: r["component_id"] for r in found.collect() if not r["kept"]}
+    shingles = [near_dedup.shingle_sets(pa.array([t]), 3)[0] for _, t in rows]
+    for f in range(5):
+        a, b = f * 800 + 266, f * 800 + 400
+        both = len(np.intersect1d(shingles[a], shingles[b]))
+        assert 100 * both >= 85 * (len(shingles[a]) + len(shingles[b]) - both) and linked.get(b) == linked.get(a, a)
+
+
+def test_parity_maps_rule_out_no_link():
+    pick = np.random.default_rng(3)
+    pool = textarrays.mix(np.arange(1, 400, dtype=np.uint64))
+    sets = [np.sort(pick.choice(pool[: int(m)], int(m * 0.95), replace=False)) for m in pick.integers(20, 300, 150)]
+    v, n = np.arange(150), np.array([len(s) for s in sets])
+    component, side = v % 40, v % 2
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    near = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
+    for sides in (side, side * 0):
+        a, b = near_dedup.unlike_ruled_out(sides, v, n, component, [near_dedup.parity_map(s) for s in sets], 80)
+        got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        may = {(x, y) for x in range(150) for y in range(x) if component[x] != component[y] and (sides[x] != sides[y] or not sides.any())}
+        may = {(y, x) for x, y in may}
+        assert len(got) == len(a) and {p for p in may if near[p]} <= got <= may and len(got) < len(may) / 2
+
+
 def test_signatures_agree_about_as_often_as_sets():
     one = np.sort(textarrays.mix(np.arange(400, dtype=np.uint64)))
     other = np.sort(textarrays.mix(np.arange(60, 460, dtype=np.uint64)))

@@ -1,4 +1,4 @@
-"""Near-duplicate documents: one-permutation MinHash, banded buckets, star-shaped candidates, exact links."""
+"""Near-duplicate documents: one-permutation MinHash, banded buckets, stars, a complete comparison of what they leave, exact links."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from .textarrays import mix, ngram_hashes, slices, text_words
 BINS, MISS = 384, 1e-6
 #: Stars that each bucket with several components gets at least.
 STARS = 4
+#: Members of a bucket that are compared with each other, or with as many others, in one go.
+BLOCK = 1024
 
 
 def rows_in_band(percent: int) -> int:
@@ -126,9 +128,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket. In each bucket the smallest member is the centre of a star: only (centre, member) pairs are
     compared, on full sets. While members of a bucket are still in different components, it gets further stars, with centres
     drawn by hash, each compared with the members of other components whose set sizes allow a link; this stops when STARS of them
-    have been drawn and the last linked nothing. So a bucket costs a few pairs a member, however many members it has, and a bucket
-    with no more members than stars is compared in full. A pair at the threshold shares about a dozen buckets and is missed only if none of its
-    stars links the two, directly or through others.
+    have been drawn and the last linked nothing. In buckets that still have several components, all pairs across components are then
+    compared: parity maps of the sets, block by block, rule out pairs that can't be links, and the rest is compared on full sets. So a pair that
+    shares a bucket is never lost; a bucket of true copies costs a few pairs a member, and only the maps are compared pair by pair.
 
     One row per distinct id: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links),
     ``kept`` (whether that is the document itself). Words are lower-cased (A-Z); fewer than ``k`` words are one
@@ -150,13 +152,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, star, linked = shared.select("bucket", "v", "n"), 1, True
     while star < STARS or linked:
         more = confirmed(_next_star(members, labels, star, percent), sets, percent)
-        ends_a, ends_b = labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), labels.select(F.col("v").alias("b"), F.col("component").alias("cb"))
-        between = more.join(ends_a, "a").join(ends_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct().checkpoint()
+        between = _between(more, labels).checkpoint()
         linked = not between.isEmpty()
         if linked:
-            names = connected_components(between).select(F.col("v").alias("component"), F.col("component").alias("renamed"))
-            labels = labels.join(names, "component", "left").select("v", F.coalesce("renamed", "component").alias("component")).checkpoint()
+            labels = _renamed(labels, between).checkpoint()
         star += 1
+    between = _between(confirmed(_left_over(shared, labels, sets, percent), sets, percent), labels).checkpoint()
+    if not between.isEmpty():
+        labels = _renamed(labels, between).checkpoint()
 
     reps = classes.select("print", "v").join(labels, "v", "left").select("print", F.coalesce("component", "v").alias("component"))
     found = signed.select("doc", "n", "print").join(reps, "print", "left")
@@ -171,3 +174,109 @@ def _next_star(members: DataFrame, labels: DataFrame, star: int, percent: int) -
     stars = labelled.groupBy("bucket").agg(drawn.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "c")
     fits = (F.col("component") != F.col("c.component")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     return labelled.join(stars, "bucket").where(fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) of documents as links of their components."""
+    ends_a, ends_b = labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), labels.select(F.col("v").alias("b"), F.col("component").alias("cb"))
+    return links.join(ends_a, "a").join(ends_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def _renamed(labels: DataFrame, between: DataFrame) -> DataFrame:
+    """Labels after components have been linked."""
+    names = connected_components(between).select(F.col("v").alias("component"), F.col("component").alias("renamed"))
+    return labels.join(names, "component", "left").select("v", F.coalesce("renamed", "component").alias("component"))
+
+
+def _left_over(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that share a bucket, are in different components and that parity maps don't rule out.
+
+    The smallest member of a bucket is left out: it was compared with all others. A bucket is cut into blocks of about BLOCK members,
+    and each pair of blocks is compared by itself, so a bucket with most of the documents is many tasks.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [parity_map(s) for s in _each(batch["shingles"])]
+            yield pa.RecordBatch.from_arrays([batch["v"], pa.array(maps, pa.binary())], names=["v", "map"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            a, b = unlike_ruled_out(*(group[c].to_numpy() for c in ("side", "v", "n", "component")), group["map"].to_pylist(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rest = shared.where("v <> centre").select("bucket", "v", "n").join(labels, "v")
+    several = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(several.where("low < high").select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    rest = rest.join(sets.select("v", "shingles").mapInArrow(draw, "v long, map binary"), "v")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rest.select("bucket", "v", "n", "component", "map", "own", other)
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "v", "n", "component", "map")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _each(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    values, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    return (values[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (bucket, i, j), which come one after the other."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not rows.num_rows:
+            continue
+        keys = [rows[c].to_numpy() for c in ("bucket", "i", "j")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        starts = [0, *cuts.tolist()]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield rows.slice(a, b - a)
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def parity_map(own: np.ndarray) -> bytes:
+    """For each of a power of two places, at least four a member, whether an odd number of the set's members fall on it.
+
+    The exclusive or of two maps is the map of the symmetric difference, so it has no more ones than that has members.
+    """
+    places = 64 << max(0, (4 * len(own) - 1).bit_length() - 6)
+    odd = np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def unlike_ruled_out(side: np.ndarray, v: np.ndarray, n: np.ndarray, component: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different components, of both sides if there are two, whose sizes and maps allow a link."""
+    two = bool(side.min() != side.max())
+    lengths = np.array([len(m) for m in maps])
+    classes = []
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        own = own[np.argsort(n[own], kind="stable")]
+        classes.append((own, np.frombuffer(b"".join(maps[k] for k in own), dtype=np.uint64).reshape(len(own), -1)))
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for c, (short, short_maps) in enumerate(classes):
+        for d, (long, long_maps) in enumerate(classes[c:], c):
+            if 100 * n[short[-1]] < percent * n[long[0]]:
+                break  # longer maps are of larger sets
+            folded = long_maps
+            while folded.shape[1] > short_maps.shape[1]:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            n_long = n[long]
+            highs = np.searchsorted(n_long, 100 * n[short] // percent, side="right")
+            for k, (x, high) in enumerate(zip(short.tolist(), highs.tolist(), strict=True)):
+                low = k + 1 if c == d else 0
+                at = low + np.flatnonzero(component[long[low:high]] != component[x])
+                if two:
+                    at = at[side[long[at]] != side[x]]
+                if not len(at):
+                    continue
+                both = n[x] + n_long[at]
+                differ = np.bitwise_count(folded[at] ^ short_maps[k]).sum(axis=1, dtype=np.int64)
+                at = at[differ <= both - 2 * (-(-percent * both // (100 + percent)))]
+                left.append(np.full(len(at), x))
+                right.append(long[at])
+    return v[np.concatenate(left)], v[np.concatenate(right)]
