@@ -1,12 +1,14 @@
 """Token counts, the codec, decontamination and licences."""
 
+import textwrap
+
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm.messy import docs, prose, texts
-from tracelake.llm import decontaminate, licenses, sentencepiece_codec, token_count
+from tracelake.llm import decontaminate, license_texts, licenses, sentencepiece_codec, token_count
 from tracelake.llm.queries import PIECES, RANKS
 
 
@@ -139,6 +141,21 @@ def test_licences(spark):
     assert licenses.scan(files.where("false"), F.col("file")).count() == 0
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + textwrap.fill(dict(license_texts.TEXTS)["MIT"].split("(c)")[1].strip(), 70)
+    wrapped = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/.\n"
+    rows = [
+        (1, "a/LICENSE", mit), (2, "a/x.py", prose(2, 300)), (3, "b/x.py", wrapped + prose(3, 300)), (4, "c/one.js", f"{prose(4, 300)} Licensed under the Apache License, Version 2.0 {prose(5, 300)}"),
+        (5, "d/LICENSE", " ".join(mit.split())), (6, "d/y.py", prose(6, 20)), (7, "b/y.py", prose(7, 300)), (8, "e/GPL", dict(license_texts.TEXTS)["GPL-3.0"]), (9, "e/z.py", prose(8, 20)),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"]) for r in licenses.scan(files, F.col("file")).collect()}
+    assert got == {
+        1: ("MIT", "own", None), 2: ("MIT", "inherited", "a"), 3: ("MPL-2.0", "own", None), 4: ("Apache-2.0", "own", None), 5: ("MIT", "own", None), 6: ("MIT", "inherited", "d"),
+        7: (None, "none", None), 8: ("GPL-3.0", "own", None), 9: ("GPL-3.0", "inherited", "e"),
+    }
+
+
 def test_document_counts_are_over_all_files(spark):
     files = docs(spark, texts())
     total, counts = licenses.document_counts(files, "text", ["one", "two", "zzz"])

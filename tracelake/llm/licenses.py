@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import _FOLD, tokens
+from .license_texts import TEXTS
 from .textarrays import slices, text_bytes, word_hashes, word_spans
 
 # Usual wordings of licence notices, by SPDX identifier.
@@ -38,7 +39,9 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
 )
-#: A line is compared if it has one of these tokens.
+#: A whole text this close to a full licence text is a licence file.
+WHOLE = 0.85
+#: What is near one of these tokens is compared.
 CUES = ("license", "licensed", "licence", "licenced", "spdx", "permission", "redistribution", "cc0", "copyright")
 
 
@@ -101,19 +104,75 @@ class Matcher:
         return min((-round(sum(x * vector.get(t, 0.0) for t, x in template.items()), 9), name) for name, template in self.templates)
 
 
+class Windows:
+    """The same cosines for windows of tokens, given as hashes, and for whole texts."""
+
+    def __init__(self, matcher: Matcher, templates=TEMPLATES, full=TEXTS):
+        known = sorted(matcher.weight)
+        hashes = _hashes(known)
+        order = np.argsort(hashes)
+        self.rare, self.hashes = matcher.rare, hashes[order]
+        self.weight = np.array([matcher.weight[known[k]] for k in order])
+        self.names, self.lengths = [name for name, _ in templates], np.array([len(terms(text)) for _, text in templates])
+        vectors = [vector for _, vector in matcher.templates]
+        # a last column stands for all other terms
+        self.templates = np.array([[vector.get(known[k], 0.0) for k in order] + [0.0] for vector in vectors])
+        self.full_names = [name for name, _ in full]
+        self.full = np.array([[v.get(known[k], 0.0) for k in order] + [0.0] for v in (matcher._vector(terms(text)) for _, text in full)])
+        self.longest = int(self.lengths.max())
+
+    def _terms(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's column and weight."""
+        place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        hit = self.hashes[place] == own
+        return np.where(hit, place, len(self.hashes)), np.where(hit, self.weight[place], self.rare)
+
+    def around(self, own: np.ndarray, cue: int) -> tuple[float, str, int, int]:
+        """The highest cosine of a window of as many tokens as the template has (fewer only at the text's ends) that holds the cue; the licence; the window."""
+        low, high = max(0, cue - self.longest + 1), min(len(own), cue + self.longest)
+        part = own[low:high]
+        column, weight = self._terms(part)
+        size, at = len(part), cue - low
+        squares = np.zeros((size + 1, size + 1))
+        squares[1:, 1:] = ((part[:, None] == part[None, :]) * weight[:, None] * weight[None, :]).cumsum(axis=0).cumsum(axis=1)
+        dots = np.zeros((len(self.names), size + 1))
+        dots[:, 1:] = np.cumsum(self.templates[:, column] * weight, axis=1)
+        found = []
+        for t, (name, length) in enumerate(zip(self.names, self.lengths.tolist(), strict=True)):
+            starts = np.arange(at - length + 1, at + 1)
+            a, b = np.maximum(starts, 0), np.minimum(starts + length, size)
+            norm = np.sqrt(squares[b, b] - squares[a, b] - squares[b, a] + squares[a, a])
+            cosine = np.round((dots[t, b] - dots[t, a]) / np.maximum(norm, 1e-12), 9)
+            k = int(np.argmax(cosine))
+            found.append((-float(cosine[k]), name, low + int(a[k]), low + int(b[k])))
+        cosine, name, a, b = min(found)
+        return -cosine, name, a, b
+
+    def whole(self, own: np.ndarray) -> tuple[float, str]:
+        """The highest cosine of the whole text to a full licence text, and the licence."""
+        distinct, n = np.unique(own, return_counts=True)
+        column, weight = self._terms(distinct)
+        vector = n * weight
+        cosines = np.round(self.full[:, column] @ vector / max(float(np.sqrt((vector**2).sum())), 1e-12), 9).tolist()
+        cosine, name = min((-c, name) for c, name in zip(cosines, self.full_names, strict=True))
+        return -cosine, name
+
+
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, share: float = 0.5) -> DataFrame:
     """The licence of each file: its own, or that of the nearest directory above which has one.
 
-    All lines of a whole text that hold a cue word are compared with the templates, by the cosine of sparse TF-IDF vectors whose document
-    counts come from all files. The best line gives the file its own licence if its cosine reaches ``least``. A file is a licence file if such lines hold
-    ``share`` of its tokens or more; its licence is then its directory's (of several, the one with the highest cosine, then the smallest path). A
+    Around each cue word of a whole text, its line and all windows of consecutive tokens as long as a template, across line breaks, are compared with the
+    templates, by the cosine of sparse TF-IDF vectors whose document counts come from all files. The best of them gives the file its own licence if its cosine
+    reaches ``least``. A text with a cue word is also compared as a whole with the full licence texts; from a cosine of WHOLE on it has that licence and is a
+    licence file. So is a file in which matching lines and windows hold ``share`` of its tokens or more. A licence file's
+    licence is its directory's (of several, the one with the highest cosine, then the smallest path). A
     file without a licence of its own inherits by a join of its directories, from the deepest up, with those that have one.
 
     One row per input row: ``doc_id``, ``path``, ``license`` (null if none), ``origin`` ("own", "inherited" or "none"), ``cosine`` (of the own line, else null),
     ``from_dir`` (of an inherited licence). Null or empty texts have no licence of their own; a file with a null path inherits nothing. A null id stays null. Rows that
     repeat are answered each. An empty table gives no rows. Other columns are ignored.
     """
-    vocabulary = sorted({t for _, text in TEMPLATES for t in terms(text)})
+    vocabulary = sorted({t for _, text in (*TEMPLATES, *TEXTS) for t in terms(text)})
     whole = files.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), path.alias("path"), F.col(f"`{text_col}`").alias("body"))
     total, counts = document_counts(files, text_col, vocabulary)
     cues = _hashes(list(CUES))
@@ -121,29 +180,49 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, known = Matcher(total, counts), {}
+        windows, near = Windows(matcher), {}
         for batch in batches:
             for low, high in slices(batch["body"]):
                 part = batch.slice(low, high - low)
                 data, at = text_bytes(part["body"])
                 starts, ends, first = word_spans(_FOLD[data], at)
-                place, _ = _find(word_hashes(_FOLD[data], starts, ends), cues, cue_order)
+                hashes = word_hashes(_FOLD[data], starts, ends)
+                place = np.sort(_find(hashes, cues, cue_order)[0])
                 breaks = np.unique(np.concatenate([np.flatnonzero((data == 10) | (data == 13)) + 1, at]))
-                lines = np.unique(np.searchsorted(breaks, starts[place], side="right")) if len(place) else []
-                names, cosines, in_lines = [None] * len(part), [0.0] * len(part), [0] * len(part)
-                for k in lines:
-                    a, b = int(breaks[k - 1]), int(breaks[k]) if k < len(breaks) else len(data)
-                    line = data[a:b].tobytes().decode("utf-8", errors="replace")
-                    if line not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[line] = matcher.best(line)
-                    cosine, name = -known[line][0], known[line][1]
-                    row = int(np.searchsorted(at, a, side="right")) - 1
-                    if cosine >= least:
-                        in_lines[row] += int(np.searchsorted(starts, b) - np.searchsorted(starts, a))
-                        if cosine > cosines[row]:
-                            cosines[row], names[row] = cosine, name
-                is_file = [bool(n) and n >= share * size for n, size in zip(in_lines, np.diff(first).tolist(), strict=True)]
+                rows = np.searchsorted(first, place, side="right") - 1
+                names, cosines, is_file = [None] * len(part), [0.0] * len(part), [False] * len(part)
+                for row in np.unique(rows).tolist():
+                    begin, end = int(first[row]), int(first[row + 1])
+                    own, inside = hashes[begin:end], np.zeros(end - begin, dtype=bool)
+                    mine = place[rows == row]
+                    hits = []
+                    for k in np.unique(np.searchsorted(breaks, starts[mine], side="right")).tolist():
+                        a, b = int(breaks[k - 1]), int(breaks[k]) if k < len(breaks) else len(data)
+                        line = data[a:b].tobytes().decode("utf-8", errors="replace")
+                        if line not in known:
+                            if len(known) > 100_000:
+                                known.clear()
+                            known[line] = matcher.best(line)
+                        hits.append((-known[line][0], known[line][1], int(np.searchsorted(starts, a)) - begin, int(np.searchsorted(starts, b)) - begin))
+                    for cue in (mine - begin).tolist():
+                        low_, high_ = max(0, cue - windows.longest + 1), min(len(own), cue + windows.longest)
+                        key = (cue - low_, own[low_:high_].tobytes())
+                        if key not in near:
+                            if len(near) > 20_000:
+                                near.clear()
+                            cosine, name, a, b = windows.around(own[low_:high_], cue - low_)
+                            near[key] = cosine, name, a, b
+                        cosine, name, a, b = near[key]
+                        hits.append((cosine, name, low_ + a, low_ + b))
+                    for cosine, name, a, b in hits:
+                        if cosine >= least:
+                            inside[a:b] = True
+                            if cosine > cosines[row]:
+                                cosines[row], names[row] = cosine, name
+                    is_file[row] = bool(inside.sum() >= share * len(own)) if names[row] else False
+                    cosine, name = windows.whole(own)
+                    if cosine >= WHOLE:
+                        cosines[row], names[row], is_file[row] = cosine, name, True
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["path"], pa.array(names, pa.string()), pa.array([c if n else None for c, n in zip(cosines, names, strict=True)], pa.float64()), pa.array(is_file)],
                     names=["doc_id", "path", "own", "cosine", "is_file"],
