@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,11 @@ def test_pipeline_on_messy_rows(spark):
     assert P.drop_leaks(spark, cut, DATA).count() == cut.count()
     for _, stage in P.STAGES:
         assert stage(spark, rows.where("false"), DATA).count() == 0
+
+
+def test_an_ngram_spread_thinly_over_the_sample_is_learned(spark):
+    rows = [(n, f"{prose(700 + n, 12)} zzqqx" if n % 20 == 0 else prose(700 + n, 12)) for n in range(80)]
+    labels = spark.createDataFrame([(n, n % 20 == 0) for n, _ in rows], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) as toxic")
+    model = toxicity.learn(docs(spark, rows), labels)
+    (word,) = toxicity.gram_sets(pa.array(["zzqqx"]))
+    assert len(word) == 3 and np.isin(word, model.chosen).all()

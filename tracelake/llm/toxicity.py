@@ -15,7 +15,7 @@ from .quality import decided
 from .shards import nullable
 from .textarrays import LOWER, mix, slices, text_bytes
 
-#: Lengths of n-grams in bytes of lower-cased UTF-8; n-grams chosen; how many documents of a part must have one.
+#: Lengths of n-grams in bytes of lower-cased UTF-8; n-grams chosen; how many documents of the sample must have one.
 LENGTHS, CHOSEN, SUPPORT = (4, 5, 6), 2048, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,7 +76,7 @@ class Linear:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Linear:
     """Weights learned from about ``bound`` labelled documents at most.
 
-    Counts of n-grams by label are added up by Spark; the CHOSEN ones that tell the labels apart most surely come to the driver, and then, for each
+    Counts of n-grams by label are added up by Spark; of those in SUPPORT documents or more, the CHOSEN ones that tell the labels apart most surely come to the driver, and then, for each
     document, one bit for each of them.
     """
     drawn = sample(docs, labels, label, bound, id_col, text_col).repartition(8, F.xxhash64("body")).checkpoint()
@@ -97,12 +97,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         found, toxic = found[order], toxic[order]
         begin = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
         with_, total = np.add.reduceat(toxic.astype(np.int64), begin) if len(begin) else begin, np.diff(np.append(begin, len(found)))
-        keep = total >= SUPPORT
-        columns = [pa.array(found[begin][keep].view(np.int64)), pa.array(with_[keep]), pa.array((total - with_)[keep])]
+        columns = [pa.array(found[begin].view(np.int64)), pa.array(with_), pa.array(total - with_)]
         yield from pa.table(columns, names=["gram", "ones", "zeros"]).to_batches(max_chunksize=100_000)
 
     p, q = (F.col("ones") + 1) / (ones + 2), (F.col("zeros") + 1) / (zeros + 2)
-    counts = drawn.mapInArrow(count, "gram long, ones long, zeros long").groupBy("gram").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = drawn.mapInArrow(count, "gram long, ones long, zeros long").groupBy("gram").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).where(F.col("ones") + F.col("zeros") >= SUPPORT)
     surely = F.abs(p - q) / F.sqrt(p * (1 - p) / ones + q * (1 - q) / zeros)
     rows = counts.select("gram", F.log(p / q).alias("ratio"), surely.alias("surely")).orderBy(F.desc("surely"), "gram").limit(CHOSEN).toPandas()
     chosen = rows["gram"].to_numpy().astype(np.int64).view(np.uint64)
