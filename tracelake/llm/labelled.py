@@ -12,7 +12,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(body, label) of about ``bound`` labelled documents at most, drawn by the hash of the id; rows held out are never drawn.
+    """(doc, body, label) of about ``bound`` labelled documents at most, drawn by the hash of the id; rows held out are never drawn.
 
     Only labels 0 and 1 count; an id labelled more than once has its largest label.
     """
@@ -22,4 +22,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: s
     share = min(1.0, bound / max(total, 1))
     drawn = known.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
-    return texts.join(F.broadcast(drawn), "doc").select("body", "label")  # about ``bound`` pairs of numbers
+    return texts.join(F.broadcast(drawn), "doc").select("doc", "body", "label")  # about ``bound`` pairs of numbers
