@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.messy import docs, prose, texts
-from tracelake.llm import lm_score, near_dedup, shards, substring_dedup, textarrays
+from tracelake.llm import components, lm_score, near_dedup, shards, substring_dedup, textarrays
 from tracelake.llm.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -143,6 +143,39 @@ def test_a_family_around_the_threshold(spark):
     assert sorted(map(tuple, found.collect())) == expected_groups(rows, 3, 85)
 
 
+def test_a_family_of_all_similarities(spark):
+    """200 texts that are 0.5 to 0.95 alike, as their shared part is longer or shorter; reports the share of links found."""
+    base, rows = prose(40, 150, 10_000).split(), []
+    for n in range(200):
+        own, pick = list(base), random.Random(n)
+        for at in pick.sample(range(0, 150), pick.choice((1, 2, 4, 6, 9, 14))):
+            own[at] = f"edit{n}x{at}"
+        rows.append((n, " ".join(own)))
+    found = near_dedup.near_duplicates(docs(spark, rows), k=3, percent=85)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for _, t in rows)]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(200) for b in range(a)}
+    links = [p for p, s in alike.items() if s >= 0.85]
+    assert min(alike.values()) < 0.55 and max(alike.values()) > 0.93 and len(links) > 50
+    assert sum(got[a] == got[b] for a, b in links) / len(links) == 1.0
+    assert got == smallest(range(200), links)
+
+
+def smallest(names, links):
+    """The smallest name that each can reach."""
+    up = {v: v for v in names}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    return {v: root(v) for v in up}
+
+
 def boilerplate(families, size):
     """Families of texts below the threshold with each other, each with one pair above it."""
     rows = []
@@ -193,10 +226,27 @@ def test_signatures_agree_about_as_often_as_sets():
     assert len(np.unique(few)) == near_dedup.BINS  # every bin is filled, and bands differ by their number
 
 
-def test_components_of_a_long_path(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(100, 101), (7, 7)], "a long, b long")
-    got = dict(map(tuple, connected_components(links).collect()))
-    assert got == {k: 0 for k in range(10)} | {100: 100, 101: 100}
+@pytest.mark.parametrize("shape", ["path", "shuffled", "star", "random"])
+def test_components(spark, shape):
+    pick = random.Random(7)
+    names = list(range(1, 1001))
+    if shape == "shuffled":
+        pick.shuffle(names)
+    pairs = {
+        "path": [(names[k], names[k + 1]) for k in range(999)],
+        "shuffled": [(names[k], names[k + 1]) for k in range(999)],
+        "star": [(500, k) for k in range(1, 1001)],
+        "random": [(pick.randrange(300), pick.randrange(300)) for _ in range(200)],
+    }[shape] + [(5000, 5001), (7000, 7000), (5001, 5000), (None, 3)]
+    turns = []
+    hooked = components._hooked
+    components._hooked = lambda links, turn: (turns.append(turn), hooked(links, turn))[1]
+    try:
+        got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    finally:
+        components._hooked = hooked
+    want = smallest({v for p in pairs if p[0] is not None for v in p}, [p for p in pairs if p[0] is not None])
+    assert got == want and len(turns) < 12
 
 
 def test_empty_tables(spark):

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .tables import Tables
 from .textarrays import mix, ngram_hashes, slices, text_words
 
 #: Bins of a signature, and how likely a pair exactly at the threshold may share no bucket.
 BINS, MISS = 384, 1e-6
-#: Stars that each bucket with several components gets at least.
-STARS = 4
+#: Centres drawn at a time in a bucket that has several components.
+DRAWN = 3
 #: Members of a bucket that are compared with each other, or with as many others, in one go.
 BLOCK = 1024
 
@@ -111,13 +112,13 @@ def _print(own: np.ndarray) -> bytes | None:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. A hot end is one side of a join that Spark may split."""
+    """The pairs (a, b), each given once, whose full sets are alike enough. A hot end is one side of a join that Spark may split."""
     ends_a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("set_a"))
     ends_b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(ends_b, "b").join(ends_a, "a")
     n_a, n_b, common = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
     near = F.when(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b), 100 * common >= percent * (n_a + n_b - common)).otherwise(False)
-    return both.where(near).select("a", "b").distinct()
+    return both.where(near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -126,11 +127,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal sets are one class, represented by its smallest id. One-permutation MinHash with
     optimal densification gives each class BINS values, cut into bands; classes that agree in a band share a
     bucket. In each bucket the smallest member is the centre of a star: only (centre, member) pairs are
-    compared, on full sets. While members of a bucket are still in different components, it gets further stars, with centres
-    drawn by hash, each compared with the members of other components whose set sizes allow a link; this stops when STARS of them
-    have been drawn and the last linked nothing. In buckets that still have several components, all pairs across components are then
-    compared: parity maps of the sets, block by block, rule out pairs that can't be links, and the rest is compared on full sets. So a pair that
-    shares a bucket is never lost; a bucket of true copies costs a few pairs a member, and only the maps are compared pair by pair.
+    compared, on full sets. Buckets whose members are still in different components get further stars, DRAWN at a time, with centres
+    drawn by hash, each compared with the members of other components whose set sizes allow a link, until such a round links nothing. In buckets that still
+    have several components, all pairs across components are then compared: parity maps of the sets, block by block, rule out
+    pairs that can't be links, and the rest is compared on full sets. So a pair that shares a bucket is always decided; a bucket of true copies costs a few
+    pairs a member, and only the maps are compared pair by pair.
 
     One row per distinct id: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links),
     ``kept`` (whether that is the document itself). Words are lower-cased (A-Z); fewer than ``k`` words are one
@@ -148,18 +149,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = shared.select("v").distinct()
     sets = full_sets(docs, wanted.join(classes.select("v", "print"), "v"), id_col, text_col, k).checkpoint()
     links = confirmed(shared.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), sets, percent)
-    labels = wanted.join(connected_components(links), "v", "left").select("v", F.coalesce("component", "v").alias("component")).checkpoint()
-    members, star, linked = shared.select("bucket", "v", "n"), 1, True
-    while star < STARS or linked:
-        more = confirmed(_next_star(members, labels, star, percent), sets, percent)
-        between = _between(more, labels).checkpoint()
-        linked = not between.isEmpty()
-        if linked:
-            labels = _renamed(labels, between).checkpoint()
-        star += 1
-    between = _between(confirmed(_left_over(shared, labels, sets, percent), sets, percent), labels).checkpoint()
-    if not between.isEmpty():
-        labels = _renamed(labels, between).checkpoint()
+    tables = Tables(docs.sparkSession)
+    labels = tables.keep(wanted.join(connected_components(links), "v", "left").select("v", F.coalesce("component", "v").alias("component")))
+    members, turn, linked = shared.select("bucket", "v", "n"), 0, True
+    while linked:
+        stars = confirmed(_further_stars(members, labels, turn, percent), sets, percent)
+        labels, linked = _joined(labels, stars, tables)
+        turn += 1
+    labels, _ = _joined(labels, confirmed(_left_over(shared, labels, sets, percent), sets, percent), tables)
+    labels = labels.checkpoint()
+    tables.drop()
 
     reps = classes.select("print", "v").join(labels, "v", "left").select("print", F.coalesce("component", "v").alias("component"))
     found = signed.select("doc", "n", "print").join(reps, "print", "left")
@@ -167,25 +166,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
 
 
-def _next_star(members: DataFrame, labels: DataFrame, star: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a centre drawn by hash and the members of other components, in buckets that have more than one component."""
+def _further_stars(members: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of centres drawn by hash and the members of other components, in buckets that have more than one component.
+
+    The hash is of the member alone, so buckets that hold the same members draw the same centres, and their pairs are the same.
+    """
     labelled = members.join(labels, "v")
-    drawn = F.min_by(F.struct("v", "n", "component"), F.xxhash64("v", "bucket", F.lit(star)))
-    stars = labelled.groupBy("bucket").agg(drawn.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "c")
+    drawn = [F.min_by(F.struct("v", "n", "component"), F.xxhash64("v", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]
+    stars = labelled.groupBy("bucket").agg(F.array(*drawn).alias("centres"), F.min("component").alias("low"), F.max("component").alias("high"))
+    stars = stars.where("low < high").select("bucket", F.explode(F.array_distinct("centres")).alias("c"))
     fits = (F.col("component") != F.col("c.component")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     return labelled.join(stars, "bucket").where(fits).select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
 
 
-def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) of documents as links of their components."""
+def _joined(labels: DataFrame, links: DataFrame, tables: Tables) -> tuple[DataFrame, bool]:
+    """Labels (v, component) after the links (a, b) of members, and whether any of them joined two components."""
     ends_a, ends_b = labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), labels.select(F.col("v").alias("b"), F.col("component").alias("cb"))
-    return links.join(ends_a, "a").join(ends_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-
-
-def _renamed(labels: DataFrame, between: DataFrame) -> DataFrame:
-    """Labels after components have been linked."""
+    between = links.join(ends_a, "a").join(ends_b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    between = tables.keep(between)
+    if between.isEmpty():
+        return labels, False
     names = connected_components(between).select(F.col("v").alias("component"), F.col("component").alias("renamed"))
-    return labels.join(names, "component", "left").select("v", F.coalesce("renamed", "component").alias("component"))
+    return tables.keep(labels.join(names, "component", "left").select("v", F.coalesce("renamed", "component").alias("component"))), True
 
 
 def _left_over(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
