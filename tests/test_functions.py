@@ -81,3 +81,13 @@ def test_noise_depends_on_its_key_only(spark):
     drawn = lambda frame: {r[0]: r[1] for r in frame.select("key", V.keyed_noise("n", F.col("key"), F.lit(7), F.lit(2))).collect()}
     a, b = drawn(rows.repartition(3)), drawn(rows.orderBy(F.desc("key")).coalesce(1))
     assert a == b and np.array_equal(np.array(a["k4"], dtype=np.float32), V.noise("n", "k4", 7, 2))
+
+
+def test_batched_rows_of_other_lengths(spark):
+    from tracelake.operators.traces import batched_rows
+
+    rows = spark.createDataFrame([(1, 2, [1.0, 2.0], [5.0], "x"), (2, 0, [], [], "y"), (3, 1, None, [6.0], None)], "id long, n int, a array<double>, b array<double>, c string")
+    got = [tuple(r) for r in batched_rows(rows, F.col("n"), ["id"], ["a", "b", "c"]).orderBy("id", "index").collect()]
+    assert got == [(1, 0, 1.0, 5.0, "x"), (1, 1, 2.0, 5.0, "x"), (3, 0, None, 6.0, None)]
+    with pytest.raises(Exception, match="a has 2 values in a batch of 3"):
+        batched_rows(rows.limit(1), F.lit(3), ["id"], ["a"]).collect()

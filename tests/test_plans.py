@@ -23,7 +23,10 @@ def registry(spark, suite="libero_spatial", n=10):
 def test_task_plan(spark):
     plan = grid.task_plan(registry(spark), task_ids=(1, 3), episodes=2, seed=11)
     rows = plan.orderBy("episode_id").collect()
-    assert [r["episode_id"] for r in rows] == [f"libero/libero_spatial/task_{t}/{k}/11" for t in (1, 3) for k in (0, 1)]
+    assert [r["episode_id"] for r in rows] == [f"libero/libero_spatial/{t}/{k}/11" for t in (1, 3) for k in (0, 1)]
+    assert {(r["task_key"], r["task_name"]) for r in rows} == {("1", "task_1"), ("3", "task_3")}
+    with pytest.raises(ValueError, match=r"lacks task ids \[7\]"):
+        grid.task_plan(registry(spark, n=7), task_ids=(1, 7))
     assert {r["max_steps"] for r in rows} == {250} and len({r["episode_key"] for r in rows}) == 4 and all(r["episode_key"][0] == "e" for r in rows)
 
 
@@ -49,7 +52,7 @@ def test_paraphrases(spark, tmp_path):
     assert rows[0]["instruction"] == "put it\n there" and rows[0]["perturbation"] == "act"
     assert grid.paraphrase_plan(spark, root, paraphrase_types=["obj"]).count() == 1
     assert grid.paraphrase_plan(spark, root, task_ids=[]).count() == 0
-    with pytest.raises(RuntimeError, match="moved from expected revision r2 to r1"):
+    with pytest.raises(RuntimeError, match="is at revision r1, not at r2"):
         grid.paraphrase_plan(spark, root, revision="r2")
 
 
@@ -117,7 +120,10 @@ def test_index_by_window_and_by_ranges(spark):
 def test_hashes(spark):
     whole = validate.canonical(plan(spark))
     assert validate.plan_hash(whole) == validate.plan_hash(whole.repartition(3)) != validate.plan_hash(validate.canonical(plan(spark, instruction="other")))
+    assert validate.plan_hash(whole, rows_in_bucket=1) == validate.plan_hash(whole.repartition(3), rows_in_bucket=1) != validate.plan_hash(whole)
     assert validate.exact_hash(whole) == validate.exact_hash(whole.repartition(3))
     assert [r["episode_index"] for r in whole.orderBy("episode_index").collect()] == [0, 1, 2, 3]
+    dry = validate.dry_run(whole, function="f@1", out="x", video=None).first()
+    assert (dry["benchmark"], dry["benchmark_revision"], dry["function"], dry["out"], dry["video"]) == ("libero", "installed", "f@1", "x", None)
     summed = validate.summary(whole).first()
     assert (summed["suite"], summed["episodes"], summed["tasks"], summed["max_steps"]) == ("libero_spatial", 4, 2, 250)

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake import report
 from tracelake.operators import metrics as M
 from tracelake.operators import store
 from tracelake.operators.audit import leftovers, missing_media
-from tracelake.operators.runner import TrialSpec, run_plan
+from tracelake.operators.runner import TrialSpec, run_plan, same_seed
 from tracelake.operators.signature import exact_signature, identity, signature
 from tracelake.plans.grid import expand_grid
 
@@ -155,6 +156,41 @@ def test_wrong_action_length_is_an_error(spark, tmp_path):
         run_plan(plan(spark), spec(size=6), str(tmp_path))
 
 
+@pytest.mark.parametrize(("declared", "message"), [({"action_dim": 6}, "actions of 6 values"), ({"control_mode": "absolute"}, "declares control mode"), ({"run": None}, "without run")])
+def test_declarations_are_checked_when_a_function_is_made(spark, tmp_path, declared, message):
+    class Wrong:
+        def run(self, row):
+            return trace(row)
+
+    for name, value in declared.items():
+        setattr(Wrong, name, value)
+    with pytest.raises(Exception, match=message):
+        run_plan(plan(spark), TrialSpec(Wrong, "mock", "1"), str(tmp_path))
+
+
+def test_a_batch_has_one_seed():
+    rows = [{"seed": s, "n": n} for n, s in enumerate([7, 7, 7, 8, 8, 7])]
+    assert [[r["n"] for r in part] for part in same_seed(rows, 2)] == [[0, 1], [2], [3, 4], [5]]
+    assert list(same_seed([], 2)) == []
+
+
+def test_code_and_environment_are_part_of_the_identity(spark, tmp_path):
+    more = ({}, {"implementation": "a"}, {"implementation": "b"}, {"environment": {"numpy": "2"}})
+    runs = [run_plan(plan(spark, ids=(0,)), spec(), str(tmp_path), **how) for how in more]
+    assert len({r.run_id for r in runs}) == 4
+    config = store.read_manifests(spark, f"{runs[3].path}/manifest.json").first()["config"]
+    assert config["schema_version"] == 1 and config["environment"]["numpy"] == "2" and config["implementation"] == ""
+
+
+def test_report(spark, tmp_path, capsys):
+    run = run_plan(plan(spark), spec(), str(tmp_path))
+    assert [tuple(r) for r in report.grouped(spark, run.path, " task_id, init_state_id,").collect()][:2] == [(0, 0, 1, 1, 5.0), (0, 1, 1, 1, 5.0)]
+    report.main([run.path])
+    assert "|6       |4        |6.0" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="no column x"):
+        report.grouped(spark, run.path, "x")
+
+
 def test_specs_are_checked():
     for bad in ({"function_id": ""}, {"revision": ""}, {"control_mode": "absolute"}):
         with pytest.raises(ValueError):

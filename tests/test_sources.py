@@ -17,7 +17,7 @@ def test_readers_are_pinned(spark, tmp_path):
     assert D.tasks(spark, str(root)).columns == ["task_index"]
     with pytest.raises(ValueError, match="conflicts"):
         D.frames(spark, source, revision="r2")
-    with pytest.raises(RuntimeError, match="moved"):
+    with pytest.raises(RuntimeError, match="is at revision"):
         D.frames(spark, D.RecordedSource(str(root), "r2"))
     with pytest.raises(ValueError, match="org/name"):
         D.frames(spark, "/some/path", revision="r1")

@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from ..plans.validate import canonical, cohorts, exact_hash, plan_hash
+from ..plans.validate import canonical, cohorts, plan_hash
 from ..schemas import ACTION_SIZE, PLAN_SCHEMA, TIMING_DDL, TRACE_SCHEMA
+from ..session import ship
 from .metrics import pending as pending_rows
 from .signature import identity
 from .store import Run, append_buckets, append_timings, completed, read_run, write_manifest, write_partitions
 from .traces import episode_table, step_table
 
-#: Rows handed to a function at a time; plans up to EXACT_ROWS rows have the exact content hash in their identity.
-BATCH, EXACT_ROWS = 8, 20_000
+#: Rows handed to a function at a time; version of the tables' schemas, a part of each run's identity.
+BATCH, SCHEMA_VERSION = 8, 1
 
 
 class TrialFunction(Protocol):
     """What a factory makes, once for each task. Traces are dictionaries of TRACE_SCHEMA.
 
-    ``run_batch(rows)`` and ``close()`` are optional; without ``run_batch`` rows run one by one.
+    ``run_batch(rows)`` and ``close()`` are optional; without ``run_batch`` rows run one by one. So are ``action_dim`` and ``control_mode``; if a
+    function declares them, they must be those of the tables and of its spec, which is checked when it is made. The rows of one call of
+    ``run_batch`` have the same seed.
     """
 
     def run(self, row: Mapping[str, Any]) -> Mapping[str, Any]: ...
@@ -50,6 +53,31 @@ class TrialSpec:
             raise ValueError("control mode must be 'relative'")
 
 
+def _made(spec: TrialSpec) -> TrialFunction:
+    """A function whose declarations fit; one that doesn't runs nothing."""
+    made = spec.factory()
+    if not callable(getattr(made, "run", None)) and not callable(getattr(made, "run_batch", None)):
+        raise TypeError(f"{spec.function_id} makes something without run() or run_batch()")
+    width, mode = getattr(made, "action_dim", ACTION_SIZE), getattr(made, "control_mode", spec.control_mode)
+    if int(width) != ACTION_SIZE:
+        raise ValueError(f"{spec.function_id} declares actions of {width} values; tables hold {ACTION_SIZE}")
+    if mode != spec.control_mode:
+        raise ValueError(f"{spec.function_id} declares control mode {mode!r}, its spec {spec.control_mode!r}")
+    return made
+
+
+def same_seed(planned: list[dict], batch: int) -> Iterator[list[dict]]:
+    """Runs of at most ``batch`` rows with the same seed, in order."""
+    part: list[dict] = []
+    for row in planned:
+        if part and (len(part) == batch or row["seed"] != part[0]["seed"]):
+            yield part
+            part = []
+        part.append(row)
+    if part:
+        yield part
+
+
 def _check(trace: Mapping[str, Any], key: str) -> dict:
     """A trace as a plain dictionary; wrong action lengths are errors here, before anything is written."""
     steps = trace.get("steps") or []
@@ -75,16 +103,15 @@ def execute(rows: DataFrame, spec: TrialSpec, batch: int = BATCH) -> DataFrame:
     """
     timing = StructType([StructField("timing", StructType.fromDDL(TIMING_DDL))])
     schema = StructType([*rows.schema.fields, *TRACE_SCHEMA.fields, *timing.fields])
-    arrow, factory = to_arrow_schema(schema), spec.factory
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = None
         try:
             for arrived in batches:
                 planned = arrived.to_pylist()
-                for at in range(0, len(planned), batch):
-                    part = planned[at : at + batch]
-                    made = factory() if made is None else made
+                for part in same_seed(planned, batch):
+                    made = _made(spec) if made is None else made
                     together = getattr(made, "run_batch", None)
                     out: list[dict] = []
                     if callable(together):
@@ -109,19 +136,24 @@ def execute(rows: DataFrame, spec: TrialSpec, batch: int = BATCH) -> DataFrame:
 def run_plan(
     plan: DataFrame, spec: TrialSpec, out: str, *, benchmark: str = "", revision: str = "", metadata: Mapping[str, Any] | None = None, write_video: bool = False,
     cohort_size: int | None = None, batch: int = BATCH, layout: str = "key", checkpoint: Callable[[], None] | None = None,
+    implementation: str = "", environment: Mapping[str, str] | None = None,
 ) -> Run:
     """Run what is pending of a plan and return the run's tables.
 
-    The run's id follows from the function, the benchmark and the plan's content, so a changed plan is another run. Pending rows are the plan without the
+    The run's id follows from the function, the benchmark, the plan's content, the schemas' version, and what the caller says of the code (``implementation``, such as a
+    digest of it) and of the ``environment`` (such as versions of packages); a change of any of them is another run. Pending rows are the plan without the
     keys whose steps are complete; they are written down before the first cohort, as the tables they come from are about to change. Each cohort's traces
     are staged, so the function runs once; then steps are written, then episodes: an episode row is the mark that its steps are there. A failure loses the cohort at
     most. Cohorts are chosen by a filter; no row passes through the driver. If nothing is pending, no function is made.
     """
     spark = plan.sparkSession
+    ship(spark)
     whole = canonical(plan).checkpoint()
-    count = whole.count()
-    content = exact_hash(whole) if count <= EXACT_ROWS else plan_hash(whole)
+    content = plan_hash(whole)
     config = {
+        "schema_version": SCHEMA_VERSION,
+        "implementation": implementation,
+        "environment": dict(environment or {}),
         "function": {"id": spec.function_id, "revision": spec.revision, "control_mode": spec.control_mode, "metadata": dict(spec.metadata)},
         "benchmark": {"name": benchmark, "revision": revision, "metadata": dict(metadata or {}), "write_video": write_video, "plan_sha256": content},
     }
@@ -131,15 +163,17 @@ def run_plan(
     left = pending_rows(whole, completed(spark, root))
     size = cohort_size or max(4 * spark.sparkContext.defaultParallelism, 1000)
     todo = f"{root}/_staging/pending"
-    cohorts(left, size, "episode_index").write.mode("overwrite").parquet(todo)
-    rows = spark.read.parquet(todo)
+    split = cohorts(left, size, "episode_index")
+    split.repartition("cohort").write.partitionBy("cohort").mode("overwrite").parquet(todo)  # a cohort reads its own folder only
+    rows = spark.read.schema(split.schema).parquet(todo)
     last = rows.agg(F.max("cohort")).first()[0]
     if last is None:
         return read_run(spark, root)
     attempt = int(time.time() * 1000)
     for number in range(last + 1):
         part = rows.where(F.col("cohort") == number).select([f.name for f in PLAN_SCHEMA])
-        dealt = part.repartition(max(1, min(spark.sparkContext.defaultParallelism, size)), "task_key").sortWithinPartitions("task_key", "seed", "episode_index")
+        order = ("task_key", "seed", "episode_index")
+        dealt = part.repartitionByRange(max(1, min(spark.sparkContext.defaultParallelism, size)), *order).sortWithinPartitions(*order)
         staged = f"{root}/_staging/cohort={number}"
         execute(dealt, spec, batch).write.mode("overwrite").parquet(staged)
         traces = spark.read.schema(StructType([*PLAN_SCHEMA.fields, *TRACE_SCHEMA.fields, *StructType.fromDDL(f"timing struct<{_fields(TIMING_DDL)}>").fields])).parquet(staged)

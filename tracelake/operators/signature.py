@@ -7,27 +7,20 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_json
 from ..plans.validate import bucketed_hash
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, Row):
-        return {k: _plain(v) for k, v in value.asDict().items()}
-    if isinstance(value, list):
-        return [_plain(v) for v in value]
-    return bytes(value).hex() if isinstance(value, (bytes, bytearray)) else value
-
-
 def exact_signature(frame: DataFrame, sort_by: Sequence[str], columns: Sequence[str] | None = None) -> str:
     """SHA-256 of the sorted rows' compact JSON; for frames that fit the driver. NaN is an error."""
     names = list(columns or frame.columns)
     ordered = frame.select([f"`{c}`" for c in names]).orderBy([F.col(f"`{c}`") for c in sort_by])
-    rows = [{n: _plain(v) for n, v in zip(names, row, strict=True)} for row in ordered.collect()]
-    return hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False).encode()).hexdigest()
+    rows = [row.asDict(recursive=True) for row in ordered.collect()]
+    text = json.dumps(rows, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False, default=lambda binary: binary.hex())
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def signature(frame: DataFrame, key: str, bucket: Column, columns: Sequence[str] | None = None) -> DataFrame:

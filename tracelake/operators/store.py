@@ -118,7 +118,7 @@ def write_manifest(spark: SparkSession, root: str, run_id: str, config: Mapping[
         text = read_text_file(spark, path)
         if text is not None:
             if json.loads(text) != json.loads(json.dumps(payload)):
-                raise RuntimeError(f"run manifest conflict at {path}; choose a new output root")
+                raise RuntimeError(f"{path} belongs to a run with another configuration (conflict); write to another folder")
             return
         files, where = hadoop(spark, path)
         part = hadoop(spark, f"{root.rstrip('/')}/.manifest.{run_id}.{spark.sparkContext.applicationId}.tmp")[1]
@@ -136,9 +136,9 @@ def write_manifest(spark: SparkSession, root: str, run_id: str, config: Mapping[
 def append_timings(timings: DataFrame, root: str) -> None:
     """Append timing rows as JSON lines; NaN is an error, no rows write nothing."""
     seconds = [c for c, kind in timings.dtypes if kind == "double"]
-    if timings.isEmpty():
-        return
-    bad = [c for c in seconds if not timings.where(F.isnan(c)).isEmpty()]
+    found = timings.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.isnan(c)).alias(c) for c in seconds]).first()
+    bad = [c for c in seconds if found[c]]
     if bad:
         raise ValueError(f"timings hold NaN in {bad}")
-    timings.coalesce(1).write.mode("append").json(root)
+    if found["n"]:
+        timings.write.mode("append").json(root)

@@ -69,8 +69,19 @@ def chunk_steps(chunks: DataFrame, column: str, horizon: int, *keys: str, chunk:
 
 
 def batched_rows(batches: DataFrame, count: Column, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per index of dictionaries of batched arrays; an array of another length than ``count`` is one value for all."""
-    rows = batches.select(*keys, *columns, F.explode(F.sequence(F.lit(0), count - 1)).alias("index"), count.alias("_n"))
+    """One row per index of dictionaries of batched arrays: element ``index`` of an array as long as ``count``, and any other value for all.
+
+    A count of 0 gives no rows. An array of one element stands for all rows; one of yet another length can't be held by a
+    column of elements and is an error. A null array gives nulls.
+    """
+    rows = batches.where(count > 0).select(*keys, *columns, F.explode(F.sequence(F.lit(0), count - 1)).alias("index"), count.alias("_n"))
     kinds = dict(batches.dtypes)
-    value = lambda c: F.when(F.size(c) == F.col("_n"), F.get(c, F.col("index"))) if kinds[c].startswith("array") else F.col(c)
+
+    def value(c: str) -> Column:
+        if not kinds[c].startswith("array"):
+            return F.col(c)
+        bad = F.raise_error(F.concat(F.lit(f"{c} has "), F.size(c).cast("string"), F.lit(" values in a batch of "), F.col("_n").cast("string")))
+        element = F.get(c, F.col("index"))
+        return F.when(F.col(c).isNull(), F.lit(None)).when(F.size(c) == F.col("_n"), element).when(F.size(c) == 1, F.get(c, F.lit(0))).otherwise(bad.cast(kinds[c][6:-1]))
+
     return rows.select(*keys, F.col("index").cast("long").alias("index"), *[value(c).alias(c) for c in columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def dense_index(rows: DataFrame, *order: str | Column, name: str = "episode_inde
     Up to ``window_rows`` rows one window does it; beyond, rows are dealt out by ranges of the order and sorted there, and each
     range starts where the ranges before it end, so no task sees all rows. The order must be total.
     """
-    if rows.limit(window_rows + 1).count() <= window_rows:
+    if rows.count() <= window_rows:
         return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
     ranged = ranged.checkpoint()
@@ -79,17 +80,31 @@ def row_digest(*names: str) -> Column:
 def bucketed_hash(rows: DataFrame, digest: Column, order: Column, bucket: Column) -> DataFrame:
     """(content_hash) of any number of rows: digests in order within each of a fixed number of buckets, then over the buckets.
 
-    It doesn't depend on how the rows are partitioned. A bucket's share shrinks with the number of buckets.
+    It doesn't depend on how the rows are partitioned. A bucket's rows are put in order in one task, so the buckets should grow in number with the rows.
     """
     joined = lambda pairs: F.array_join(F.transform(F.array_sort(pairs), lambda x: x["d"]), "\n")
     parts = rows.select(bucket.alias("b"), F.struct(order.alias("o"), digest.alias("d")).alias("x")).groupBy("b").agg(F.sha2(joined(F.collect_list("x")), 256).alias("d"))
     return parts.agg(F.sha2(joined(F.collect_list(F.struct(F.col("b").alias("o"), "d"))), 256).alias("content_hash"))
 
 
-def plan_hash(plan: DataFrame, buckets: int = 1024) -> str:
-    """The distributed content hash of a canonical plan."""
+def plan_hash(plan: DataFrame, rows_in_bucket: int = 1024) -> str:
+    """The distributed content hash of a canonical plan: a tree of two levels, as wide as the plan needs.
+
+    Buckets hold about ``rows_in_bucket`` digests, whatever the plan's size, and their own digests are hashed in the same way once more
+    before the last step, so a billion rows meet in about a thousand digests.
+    """
     names = [f.name for f in PLAN_SCHEMA]
-    return bucketed_hash(plan, row_digest(*names), F.col("episode_key"), F.pmod(F.xxhash64("episode_key"), F.lit(buckets))).first()[0]
+    digests = plan.select(F.col("episode_key").alias("o"), row_digest(*names).alias("d"))
+    width = max(1, math.ceil(plan.count() / rows_in_bucket))
+    for level in (width, max(1, math.ceil(width / rows_in_bucket))):
+        digests = ordered_digests(digests, F.pmod(F.xxhash64("o", F.lit(level)), F.lit(level)).cast("string"))
+    return ordered_digests(digests, F.lit("")).first()["d"]
+
+
+def ordered_digests(digests: DataFrame, group: Column) -> DataFrame:
+    """(o, d): for each group, the SHA-256 of its digests in order of ``o``."""
+    rows = digests.select(group.alias("g"), F.struct("o", "d").alias("x")).groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select(F.col("g").alias("o"), F.sha2(F.array_join(F.transform("xs", lambda x: x["d"]), "\n"), 256).alias("d"))
 
 
 def cohorts(pending: DataFrame, size: int, *order: str, name: str = "cohort") -> DataFrame:
@@ -99,8 +114,13 @@ def cohorts(pending: DataFrame, size: int, *order: str, name: str = "cohort") ->
     return dense_index(pending, *order, name="_n").withColumn(name, F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 
+def dry_run(plan: DataFrame, **settings: str) -> DataFrame:
+    """summary() with the configuration that the run would have, one column a setting, as text; nothing is executed."""
+    return summary(plan).withColumns({name: F.lit(None if value is None else str(value)).cast("string") for name, value in settings.items()})
+
+
 def summary(plan: DataFrame) -> DataFrame:
     """What a run of the plan would do, by suite; the user's function isn't called."""
     return plan.groupBy("suite").agg(
-        F.count(F.lit(1)).alias("episodes"), F.countDistinct("task_key").alias("tasks"), F.min("seed").alias("min_seed"), F.max("seed").alias("max_seed"), F.max("max_steps").alias("max_steps")
+        F.count(F.lit(1)).alias("episodes"), F.countDistinct("task_key").alias("tasks"), F.min("benchmark").alias("benchmark"), F.min("benchmark_revision").alias("benchmark_revision"), F.min("seed").alias("min_seed"), F.max("seed").alias("max_seed"), F.max("max_steps").alias("max_steps")
     )

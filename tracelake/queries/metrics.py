@@ -111,10 +111,11 @@ def q_timing_rollup(spark, sf_dir):
 
 @register("""
 SELECT conv_id, count(*) AS n_rows,
-       sha256(string_agg(sha256('{"role":"' || role || '","turn":' || turn || '}'), chr(10) ORDER BY turn)) AS content_hash
+       sha256(string_agg(sha256('{"role":"' || role || '","text_sha256":"' || sha256(text) || '","turn":' || turn || '}'), chr(10) ORDER BY turn)) AS content_hash
 FROM conversations GROUP BY conv_id""")
 def q_signature(spark, sf_dir):
-    return group_signature(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "turn"])
+    turns = table(spark, sf_dir, "conversations").withColumn("text_sha256", F.sha2("text", 256))
+    return group_signature(turns, "conv_id", "turn", ["role", "text_sha256", "turn"])
 
 
 @register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

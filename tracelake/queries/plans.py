@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import canonical_json, capture, csv_ids, csv_items, selected, template
 from ..operators.signature import identities
 from ..plans import grid, validate
+from ..schemas import PLANNED
 from .registry import Register, table
 
 register = Register()
@@ -28,7 +29,7 @@ def _tasks(spark, sf_dir):
 _GRID = """
 WITH t AS (SELECT ['libero_spatial','libero_object','libero_goal','libero_10','libero_90'][CAST(p_partkey % 5 + 1 AS BIGINT)] AS suite, * FROM part),
 g AS (
-  SELECT suite, CAST(p_partkey AS VARCHAR) AS task_key, CAST(i AS BIGINT) AS init_state_id, CAST(7 AS BIGINT) AS seed,
+  SELECT suite, p_partkey, p_brand, p_type, CAST(p_partkey AS VARCHAR) AS task_key, CAST(i AS BIGINT) AS init_state_id, CAST(7 AS BIGINT) AS seed,
          CAST(CASE suite WHEN 'libero_spatial' THEN 250 WHEN 'libero_object' THEN 280 WHEN 'libero_10' THEN 520 WHEN 'libero_90' THEN 400 ELSE 300 END AS BIGINT) AS max_steps
   FROM t, range(3) r(i)),
 p AS (SELECT *, 'parts/' || suite || '/' || task_key || '/' || init_state_id || '/' || seed AS episode_id FROM g)
@@ -45,20 +46,39 @@ def q_grid_plan(spark, sf_dir):
 
 
 @register(_GRID + """
-SELECT suite, count(*) AS episodes, count(DISTINCT task_key) AS tasks, min(seed) AS min_seed, max(seed) AS max_seed, max(max_steps) AS max_steps
+SELECT suite, count(*) AS episodes, count(DISTINCT task_key) AS tasks, 'parts' AS benchmark, '1' AS benchmark_revision, min(seed) AS min_seed, max(seed) AS max_seed,
+       max(max_steps) AS max_steps, 'closed-form@1' AS "function", 'runs' AS out, '8' AS batch
 FROM p GROUP BY suite""")
 def q_plan_summary(spark, sf_dir):
-    return validate.summary(_plan(spark, sf_dir))
+    """A dry run: what a run of the plan would do, with its configuration."""
+    return validate.dry_run(_plan(spark, sf_dir), function="closed-form@1", out="runs", batch=8)
 
 
-_DIGEST = """sha256('{"episode_id":"' || episode_id || '","max_steps":' || max_steps || '}')"""
+@register("""
+WITH t AS (SELECT CAST(p_size % 10 AS BIGINT) AS task_id, min(p_brand) AS task_name, max(p_type) AS instruction FROM part GROUP BY 1),
+p AS (SELECT *, CAST(i AS BIGINT) AS init_state_id, 'libero/libero_spatial/' || task_id || '/' || i || '/11' AS episode_id FROM t, range(50) r(i))
+SELECT 'e' || sha1(episode_id) AS episode_key, episode_id, CAST(task_id AS VARCHAR) AS task_key, task_id, task_name, instruction, init_state_id, CAST(250 AS BIGINT) AS max_steps FROM p""")
+def q_task_plan(spark, sf_dir):
+    """A suite's plan from a registry of its ten tasks, made of all parts by size."""
+    task = (F.col("p_size") % 10).cast("long").alias("task_id")
+    tasks = table(spark, sf_dir, "part").groupBy(task).agg(F.min("p_brand").alias("task_name"), F.max("p_type").alias("instruction"))
+    none = F.lit(None).cast("string")
+    registry = tasks.select(F.lit("libero_spatial").alias("suite"), "task_id", "task_name", "instruction", none.alias("bddl_path"), none.alias("init_path"))
+    plan = grid.task_plan(registry, "libero_spatial", seed=11)
+    return plan.select("episode_key", "episode_id", "task_key", "task_id", "task_name", "instruction", "init_state_id", "max_steps")
+
+
+_DIGEST = """sha256('{"bddl_path":null,"benchmark":"parts","benchmark_revision":"1","episode_id":"' || episode_id || '","episode_key":"e' || sha1(episode_id) ||
+  '","init_path":null,"init_state_id":' || init_state_id || ',"instruction":"' || p_type || '","max_steps":' || max_steps || ',"perturbation":null,"seed":' || seed ||
+  ',"suite":"' || suite || '","suite_variant":null,"task_id":' || p_partkey || ',"task_key":"' || task_key || '","task_name":"' || p_brand || '"}')"""
 
 
 @register(_GRID + f"""
-, b AS (SELECT CAST(task_key AS BIGINT) % 64 AS b, sha256(string_agg({_DIGEST}, chr(10) ORDER BY episode_id)) AS d FROM p GROUP BY 1)
+, b AS (SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS b, sha256(string_agg({_DIGEST}, chr(10) ORDER BY episode_id)) AS d FROM p GROUP BY 1)
 SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS content_hash FROM b""")
 def q_plan_hash(spark, sf_dir):
-    return validate.bucketed_hash(_plan(spark, sf_dir), validate.row_digest("episode_id", "max_steps"), F.col("episode_id"), F.col("task_key").cast("long") % 64)
+    """All columns of the plan; buckets of 150 rows."""
+    return validate.bucketed_hash(_plan(spark, sf_dir), validate.row_digest(*PLANNED), F.col("episode_id"), F.floor(F.col("task_id") / 50).cast("long"))
 
 
 @register("""
@@ -69,10 +89,9 @@ def q_plan_index(spark, sf_dir):
 
 
 @register("""
-WITH p AS (SELECT * FROM orders WHERE o_orderstatus = 'O')
-SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 8) AS BIGINT) AS cohort FROM p""")
+SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 8) AS BIGINT) AS cohort FROM orders""")
 def q_plan_cohorts(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+    left = table(spark, sf_dir, "orders").select("o_orderkey")
     return validate.cohorts(left, 8, "o_orderkey")
 
 
@@ -117,15 +136,15 @@ def q_instruction(spark, sf_dir):
 
 
 @register("""
-WITH s AS (SELECT * FROM supplier WHERE s_suppkey <= 15),
+WITH s AS (SELECT * FROM supplier WHERE s_acctbal >= 9000),
 own AS (SELECT s_nationkey AS k, min(s_suppkey) AS v FROM s GROUP BY 1),
 near AS (SELECT n_regionkey AS k, min(s_suppkey) AS v FROM s JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
 SELECT c_custkey, coalesce(own.v, near.v) AS supplier FROM customer JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN own ON own.k = c_nationkey LEFT JOIN near ON near.k = n_regionkey""")
 def q_fallback_pair(spark, sf_dir):
-    """A supplier of the customer's nation, or else of its region: one lookup table with both kinds of keys."""
+    """A supplier with a high balance of the customer's nation, or else of its region: one lookup table with both kinds of keys. Many nations have none."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    few = table(spark, sf_dir, "supplier").where("s_suppkey <= 15").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    few = table(spark, sf_dir, "supplier").where("s_acctbal >= 9000").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     keyed = few.select(F.explode(F.array(template("nation {}", F.col("n_nationkey")), template("region {}", F.col("n_regionkey")))).alias("key"), F.col("s_suppkey").alias("hit"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = customers.select("c_custkey", template("nation {}", F.col("c_nationkey")).alias("_own"), template("region {}", F.col("n_regionkey")).alias("_near"))
@@ -133,8 +152,6 @@ def q_fallback_pair(spark, sf_dir):
 
 
 
-
-
 @register("""
 SELECT p_partkey, p_brand, p_type FROM part
 WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey <= 3) OR p_size IN (1, 2, 3)""")

@@ -69,10 +69,10 @@ def q_binarize(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", _joined(V.binarize_gripper(action.cast("array<double>"))).alias("action"))
 
 
-@register("SELECT vec_id, CAST(i AS BIGINT) AS frame_index, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS action FROM embeddings, range(49) r(i)")
+@register("SELECT vec_id, CAST(i AS BIGINT) AS frame_index, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS action FROM embeddings, range(64) r(i)")
 def q_chunk_expand(spark, sf_dir):
-    """49 values as seven chunks of seven."""
-    chunks = _vectors(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("chunk"), "embedding")
+    """64 values as chunks of seven, the last of which is shorter."""
+    chunks = _vectors(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("chunk"), "embedding")
     chunks = chunks.select("vec_id", "chunk", F.slice("embedding", F.col("chunk") * 7 + 1, F.lit(7)).alias("values"))
     frames = T.chunk_steps(chunks, "values", 7, "vec_id", chunk=F.col("chunk"))
     return frames.select("vec_id", "frame_index", F.round(F.col("action").cast("double"), 6).alias("action"))

@@ -13,7 +13,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors through Spark, once an application, and see that checkpoints have a folder."""
+    """Send this package to the executors through Spark, once an application, and see that checkpoints have a folder.
+
+    The folder is the one that the session names in spark.checkpoint.dir. Only a session on one machine gets a temporary one if it names none;
+    on a cluster that is an error, as executors can't see each other's folders.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -25,5 +29,7 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-checkpoints-"))  # unset only in tests on one machine
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-checkpoints-"))
     _shipped.add(context.applicationId)

@@ -77,7 +77,7 @@ def assert_revision(spark: SparkSession, root: str, expected: str, resolver: Cal
     """Fail unless the source is still at the recorded revision."""
     current = resolver(spark, root)
     if current != expected:
-        raise RuntimeError(f"{root} moved from expected revision {expected} to {current}; review the change and update the recorded revision")
+        raise RuntimeError(f"{root} is at revision {current}, not at {expected} to which it is pinned")
 
 
 def list_pinned(spark: SparkSession, root: str, revision: str | None, resolver=marker_revision, **how) -> DataFrame:
