@@ -45,6 +45,18 @@ def test_all_neighbours_of_a_small_table(spark, monkeypatch, scale):
     assert ann.nearest(table.where("vec_id = 5"), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_every_query_is_filled_up(spark):
+    """With the production target: few vectors, and lone vectors beside tight clusters."""
+    draw = np.random.default_rng(9)
+    few = [(n, draw.normal(size=8).tolist()) for n in range(21)]
+    centres = np.eye(8)[:3]
+    tight = [(n, (centres[n % 3] + 0.01 * draw.normal(size=8)).tolist()) for n in range(1, 240) if n % 40] + [(40 * n, (-np.eye(8)[3 + n % 5]).tolist()) for n in range(6)]
+    for rows in (few, tight):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = ann.nearest(table, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d"), F.max("rank").alias("r")).collect()
+        assert len(found) == sum(n % 20 == 0 for n, _ in rows) and {(x["n"], x["d"], x["r"]) for x in found} == {(20, 20, 20)}
+
+
 def test_hadamard_keeps_lengths_and_cells_are_the_nearest_axes():
     x = np.random.default_rng(2).normal(size=(20, 6))
     for t, turned in enumerate(ann.rotations(x, 8)):

@@ -139,6 +139,8 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     by hash the exact answers are computed, and the fewest probes are taken that find TARGET of them. If vectors differ in length,
     they get one more coordinate that makes them equally long, which leaves inner products with queries in the same order.
 
+    A query that meets fewer than ``k`` vectors then visits all cells of one table, that is, every vector once.
+
     Cells are cut into blocks of about BLOCK vectors and BLOCK queries, by the sizes of the cells (of which there are a fixed
     number), so a cell that holds a third of all rows is many tasks. Every row is indexed; only the best ``k`` of a query in
     a block leave it.
@@ -182,6 +184,18 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     find_probes = lambda x: probes(x, size, n_probes)
     in_cell = vectors.mapInArrow(dealt(find_cells), "cell int, id long").checkpoint()
     in_probe = queries.mapInArrow(dealt(find_probes), "cell int, id long").checkpoint()
+    found = _visited(in_cell, in_probe, vectors, queries, k, dimension).checkpoint()
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1)).select(F.col("query_id").alias("id"))
+    short = queries.join(enough, "id", "left_anti").checkpoint()
+    if short.isEmpty():
+        return found
+    all_cells = short.select(F.explode(F.sequence(F.lit(0), F.lit(2 * size - 1))).alias("cell"), "id")
+    filled = _visited(in_cell.where(F.col("cell") < 2 * size), all_cells, vectors, short, k, dimension)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(found.columns).union(filled)
+
+
+def _visited(in_cell: DataFrame, in_probe: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, dimension: int) -> DataFrame:
+    """The ``k`` nearest of each query among the vectors that share a (cell, id) with it, compared block by block."""
     parts = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks = parts(in_cell, "of_vectors").join(parts(in_probe, "of_queries"), "cell")  # at most 2 * size * TABLES rows
 
