@@ -127,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             yield added()
 
     summed = drawn.mapInArrow(count, "gram long, " + ", ".join(f"{c} int" for c in columns)).groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns])
-    summed = summed.where(sum((F.col(c) for c in columns), F.lit(0)) >= SUPPORT).checkpoint()
+    summed = summed.where(sum((F.col(c) for c in columns), F.lit(0)) >= SUPPORT).coalesce(8).checkpoint()  # of a bounded sample
 
     def surest(without: int | None) -> DataFrame:
         """The features chosen if a part of the sample is left out, with their log-count ratios."""
