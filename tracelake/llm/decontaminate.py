@@ -131,16 +131,17 @@ def tiled_pairs(
     texts without tokens are in no pair. Rows that repeat an id count once a pair, with the most covered. Empty tables give no rows.
     """
     seeds = seeds_of(items, item_col, item_text_col, shortest).checkpoint()
-    lead = F.shiftrightunsigned("seed", 64 - SEED_BITS).cast("int")
-    told = seeds.select(lead.alias("lead"), "k").distinct().toPandas()  # at most 2**SEED_BITS for each length up to ``shortest``
+    lead = F.shiftrightunsigned("seed", 64 - SEED_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), lead.bitwiseAND(F.lit(63)).cast("int"))
+    words = seeds.groupBy("k", F.shiftrightunsigned(lead, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most 2**SEED_BITS / 64 rows for each length up to ``shortest``
     tables = {}
-    for k, leads in told.groupby("k")["lead"]:
-        tables[int(k)] = np.zeros(1 << SEED_BITS, dtype=bool)
-        tables[int(k)][leads.to_numpy()] = True
-    packed = docs.sparkSession.sparkContext.broadcast({k: np.packbits(v).tobytes() for k, v in tables.items()})
+    for k, own in words.groupby("k"):
+        tables[int(k)] = np.zeros((1 << SEED_BITS) // 64, dtype=np.int64)
+        tables[int(k)][own["word"].to_numpy()] = own["bits"].to_numpy()
+    packed = docs.sparkSession.sparkContext.broadcast({k: v.tobytes() for k, v in tables.items()})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {k: np.unpackbits(np.frombuffer(v, dtype=np.uint8)).astype(bool) for k, v in packed.value.items()}
+        bits = {k: np.unpackbits(np.frombuffer(v, dtype=np.uint8), bitorder="little").astype(bool) for k, v in packed.value.items()}
         for batch in batches:
             for low, high in slices(batch["body"]):
                 part = batch.slice(low, high - low)
