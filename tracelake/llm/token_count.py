@@ -85,6 +85,17 @@ class LongestMatch:
         return total
 
 
+_made: dict[str, tuple[LongestMatch, dict[int, int]]] = {}
+
+
+def _automaton(vocabulary: str, pieces: list[bytes]) -> tuple[LongestMatch, dict[int, int]]:
+    """The automaton of a vocabulary and the counts of words met before, kept by a Python worker from task to task."""
+    if vocabulary not in _made:
+        _made.clear()
+        _made[vocabulary] = LongestMatch(pieces), {}
+    return _made[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words and greedy longest-match word-piece tokens of each document, in one scan without any shuffle.
 
@@ -98,7 +109,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     pieces = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = LongestMatch(pieces.value), {}
+        automaton, known = _automaton(vocabulary, pieces.value)
         for batch in batches:
             for low, high in slices(batch["body"], 4 << 20):
                 data, at = text_bytes(batch["body"].slice(low, high - low))
