@@ -35,13 +35,13 @@ def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHAR
     """``docs`` as (shard, doc, body, row), and the number of shards.
 
     ``row`` is a struct with every other column, so that no name can clash with those that a stage adds.
-    Rows without an id are dealt out by their text.
+    Rows without an id are dealt out by their place in the scan, so that many of them, alike or not, are in many shards.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     doc, body = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if carry else []
-    key = F.when(doc.isNull(), F.xxhash64(body)).otherwise(F.xxhash64(doc))
+    key = F.when(doc.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(doc))
     row = F.struct(*rest, F.lit(None).cast("int").alias("_"))
     parts = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), doc.alias("doc"), body.alias("body"), row.alias("row"))
     return parts.withColumn("row", F.col("row").cast(nullable(parts.schema["row"].dataType))), shards
