@@ -89,8 +89,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
     Counts of features by label are added up by Spark; of those in SUPPORT documents or more, the CHOSEN ones with the highest log-likelihood ratio of being
     independent of the label come to the driver, and then, for each document, one bit for each of them. The sample is in FOLDS parts by the hash of the text. For each part, features and weights are also
-    learned from the other parts alone, and its documents scored with them; the bias of the model is such that a score of 0.5 stands where those scores have the
-    highest F1. So the threshold doesn't depend on how far a model fits the texts that it was learned from.
+    learned from the other parts alone, and its documents scored with them; the bias of the model is such that a score of 0.5 stands where those scores tell the
+    labels with the fewest errors; where they tell nothing, no text gets 0.5. So the threshold doesn't depend on how far a model fits the texts that it was learned from.
     """
     part_of = F.pmod(F.xxhash64("body"), F.lit(FOLDS)).cast("int").alias("fold")
     drawn = sample(docs, labels, label, bound, id_col, text_col).repartition(8, "doc").select("body", "label", part_of).checkpoint()
@@ -192,15 +192,14 @@ def _bits(packed: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
 
 
 def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin from which on label 1 is told with the highest F1; half-way between two that were seen. 0 without both labels."""
+    """The margin from which on label 1 is told with the fewest errors; half-way between two that were seen, above all if telling none is best. 0 without both labels."""
     if not len(y) or y.min() == y.max():
         return 0.0
     order = np.argsort(-margin, kind="stable")
-    hits, ordered = np.cumsum(y[order]), margin[order]
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][ordered[:-1] == ordered[1:]] = -1  # equal margins can't be told apart
-    k = int(np.argmax(f1))
-    return float(ordered[k] + ordered[min(k + 1, len(y) - 1)]) / 2
+    gain, ordered = np.cumsum(2 * y[order] - 1), margin[order]
+    gain[:-1][ordered[:-1] == ordered[1:]] = -len(y)  # equal margins can't be told apart
+    k = int(np.argmax(gain))
+    return float(ordered[0]) + 1.0 if gain[k] <= 0 else float(ordered[k] + ordered[min(k + 1, len(y) - 1)]) / 2
 
 
 def fit(x: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, rounds: int = 300, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
