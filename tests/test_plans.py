@@ -127,3 +127,17 @@ def test_hashes(spark):
     assert (dry["benchmark"], dry["benchmark_revision"], dry["function"], dry["out"], dry["video"]) == ("libero", "installed", "f@1", "x", None)
     summed = validate.summary(whole).first()
     assert (summed["suite"], summed["episodes"], summed["tasks"], summed["max_steps"]) == ("libero_spatial", 4, 2, 250)
+
+
+def test_files_that_are_not_selected_are_never_opened(spark, tmp_path):
+    long = "(:language too long to be opened here)"
+    files = {"bddl_files/act_a_b_eval1_ver1.bddl": "(:language a + b)", "bddl_files/obj_x_eval2_ver1.bddl": long, "bddl_files/libero_goal_lan/pick + place.bddl": "(:language c)", "bddl_files/libero_goal_swap/x.bddl": long}
+    root = put(tmp_path / "a catalog", files)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", len(long) - 1)  # opening a longer file is an error
+    try:
+        assert [r["instruction"] for r in grid.paraphrase_plan(spark, root, paraphrase_types=["act"]).collect()] == ["a + b"]
+        assert [r["instruction"] for r in grid.perturbation_plan(spark, root, "libero_goal", perturbations=["lan"], episodes=1).collect()] == ["c"]
+        with pytest.raises(Exception, match="exceeds the max length"):
+            grid.paraphrase_plan(spark, root).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

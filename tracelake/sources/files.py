@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,18 +53,23 @@ def list_files(spark: SparkSession, root: str, names: str = "*", folder: str | N
     return full.join(sized, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
 
-def _relative(spark: SparkSession, root: str, column: str):
+def _relative(spark: SparkSession, root: str, column: str | Column) -> Column:
     """A full path without its scheme and ``root``."""
     start = hadoop(spark, root)[1].toUri().getPath().rstrip("/")
     return F.substr(F.regexp_replace(column, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), F.lit(len(start) + 2))
 
 
-def read_contents(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
-    """(path, text) of the given relative paths; only these files are opened."""
-    if not paths:
+def read_contents(spark: SparkSession, root: str, keep: Callable[[Column], Column], names: str = "*") -> DataFrame:
+    """(path, text) of the files below ``root`` whose relative path meets the condition that ``keep`` makes of it.
+
+    The condition is on the scan's metadata, so files that don't meet it are never opened, and no path passes through the driver's Python.
+    """
+    if not exists(spark, root):
         return spark.createDataFrame([], "path string, text string")
-    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths])
-    return files.select(_relative(spark, root, "path").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    decoded = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    path = _relative(spark, root, decoded)
+    return files.where(keep(path)).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def marker_revision(spark: SparkSession, root: str) -> str | None:
