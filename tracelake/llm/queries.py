@@ -107,6 +107,21 @@ both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT k.b, reach.r FROM reach JOIN both_ways k ON k.a = reach.doc_id),
 c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.doc_id = s.doc_id""",
+    "op4_token_counts": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w FROM d),
+p AS (SELECT DISTINCT hex(from_base64(split_part(line, ' ', 1))) AS piece
+      FROM read_csv('{RANKS}', columns = {{'line': 'VARCHAR'}}, header = false, delim = '\x01', quote = '', escape = '', auto_detect = false) WHERE line <> ''),
+longest AS (SELECT max(length(piece)) AS most FROM p),
+r(w, rest, n) AS (
+  SELECT w, hex(' ' || w), 0 FROM (SELECT DISTINCT w FROM t)
+  UNION ALL
+  SELECT w, substr(rest, max(length(piece)) + 1), n + 1
+  FROM (SELECT w, rest, n, unnest(range(2, least(length(rest), most) + 1, 2)) AS k FROM r, longest WHERE rest <> '') s JOIN p ON p.piece = substr(s.rest, 1, s.k)
+  GROUP BY w, rest, n),
+c AS (SELECT w, coalesce(max(n) FILTER (WHERE rest = ''), 1) AS n FROM r GROUP BY w),
+m AS (SELECT doc_id, sum(n) AS n FROM t JOIN c ON c.w = t.w GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(m.n, 0) AS BIGINT) AS n_tokens FROM d LEFT JOIN m ON m.doc_id = d.doc_id""",
     "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
