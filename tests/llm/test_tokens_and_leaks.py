@@ -1,5 +1,7 @@
 """Token counts, the codec, decontamination and licences."""
 
+import random
+import re
 import textwrap
 
 import numpy as np
@@ -160,3 +162,73 @@ def test_document_counts_are_over_all_files(spark):
     files = docs(spark, texts())
     total, counts = licenses.document_counts(files, "text", ["one", "two", "zzz"])
     assert (total, counts) == (len(texts()), {"one": 2, "two": 2, "zzz": 0})
+
+
+def slow_scan(rows, least=0.6, share=0.5):
+    """Licences by plain loops over dictionaries."""
+    bags = [licenses.terms(t or "") for _, _, t in rows]
+    vocabulary = sorted({t for _, text in (*licenses.TEMPLATES, *license_texts.TEXTS) for t in licenses.terms(text)})
+    matcher = licenses.Matcher(len(rows), {t: sum(t in set(bag) for bag in bags) for t in vocabulary})
+    full = [(name, matcher._vector(licenses.terms(text))) for name, text in license_texts.TEXTS]
+
+    def cosine(words, template):
+        vector = matcher._vector(words)
+        return round(sum(x * vector.get(t, 0.0) for t, x in template.items()), 9)
+
+    def window(bag, cue):
+        spans = []
+        for (name, text), (_, template) in zip(licenses.TEMPLATES, matcher.templates, strict=True):
+            n = len(licenses.terms(text))
+            at = [(max(0, start), min(start + n, len(bag))) for start in range(cue - n + 1, cue + 1)]
+            best, a, b = min((-cosine(bag[a:b], template), a, b) for a, b in at)
+            spans.append((best, name, a, b))
+        return min(spans)
+
+    own = []
+    for (_, _, text), bag in zip(rows, bags, strict=True):
+        hits, at = [], 0
+        for line in re.split("(?<=[\n\r])", text or ""):
+            words = licenses.terms(line)
+            if set(words) & set(licenses.CUES):
+                best, name = matcher.best(line)
+                hits.append((best, name, at, at + len(words)))
+            at += len(words)
+        hits += [window(bag, k) for k, word in enumerate(bag) if word in licenses.CUES]
+        good = [h for h in hits if -h[0] >= least]
+        found, covered = min((h[:2] for h in good), default=(0.0, None)), {k for h in good for k in range(h[2], h[3])}
+        is_file = bool(good) and len(covered) >= share * len(bag)
+        if set(bag) & set(licenses.CUES):
+            whole = min((-cosine(bag, template), name) for name, template in full)
+            if -whole[0] >= licenses.WHOLE:
+                found, is_file = whole, True
+        own.append((-found[0], found[1], is_file))
+    by_dir = {}
+    for (_, path, _), (cos, name, is_file) in zip(rows, own, strict=True):
+        if is_file and path is not None:
+            by_dir.setdefault(path.rpartition("/")[0], []).append((-cos, path, name))
+    out = []
+    for (i, path, _), (_, name, _) in zip(rows, own, strict=True):
+        above = path.rpartition("/")[0] if path is not None else ""
+        while name is None and path is not None and above and above not in by_dir:
+            above = above.rpartition("/")[0]
+        inherits = name is None and path is not None and above in by_dir
+        out.append((i, path, min(by_dir[above])[2] if inherits else name, "own" if name else "inherited" if inherits else "none", above if inherits else None))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [licenses.BROADCAST, 0])
+def test_licences_are_those_of_a_slow_scan(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(licenses, "BROADCAST", broadcast)
+    draw, notices = random.Random(5), [text for _, text in licenses.TEMPLATES]
+    rows = [(k, f"{draw.choice('abc')}/{draw.choice('xy')}/f{k}", prose(k, 40)) for k in range(30)]
+    for k in range(30, 60):  # notices cut short, wrapped and put into prose
+        words = draw.choice(notices).split()
+        words = words[draw.randrange(3) :] if len(words) > 6 else words
+        words[draw.randrange(len(words))] += draw.choice(["", "\n", "\n# "])
+        rows.append((k, f"{draw.choice('abc')}/{draw.choice('xyz')}/f{k}", f"{prose(k, draw.randrange(20))} {' '.join(words)} {prose(k, draw.randrange(20))}"))
+    rows += [(70, "d/LICENSE", notices[0]), (71, "d/COPYING", "Licensed under the MIT License"), (72, "d/e/f/x", prose(72, 9)), (73, "d/LICENSE-2", notices[0]), (74, "d/LICENSE-2", notices[0])]
+    rows += [(75, "e/x", None), (76, None, notices[0]), (None, "e/y", ""), (72, "d/e/f/x", prose(72, 9)), (72, "d/e/f/x", prose(72, 9)), (77, "top", notices[5]), (78, "q/r/s/t", "no words of this kind")]
+    rows += [(79, "long/a", prose(79, 20_000, 5_000) + " " + notices[2]), (80, "long/b", dict(license_texts.TEXTS)["MIT"] * 3), (81, "long/c/d", "x")]
+    files = spark.createDataFrame([(i, p, t, 1, "s") for i, p, t in rows], "doc_id long, file string, text string, salt int, near string")
+    got = [tuple(r) for r in licenses.scan(files, F.col("file")).select("doc_id", "path", "license", "origin", "from_dir").collect()]
+    assert sorted(got, key=repr) == sorted(slow_scan(rows), key=repr)

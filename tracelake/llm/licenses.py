@@ -41,6 +41,8 @@ TEMPLATES = (
 )
 #: A whole text this close to a full licence text is a licence file.
 WHOLE = 0.85
+#: The most bytes of inherited licences that are broadcast; how many copies of each there are beyond that.
+BROADCAST, SALTS = 8 << 20, 16
 #: What is near one of these tokens is compared.
 CUES = ("license", "licensed", "licence", "licenced", "spdx", "permission", "redistribution", "cc0", "copyright")
 
@@ -162,12 +164,14 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     """The licence of each file: its own, or that of the nearest directory above which has one.
 
     Around each cue word of a whole text, its line and all windows of consecutive tokens as long as a template, across line breaks, are compared with the
-    templates, by the cosine of sparse TF-IDF vectors whose document counts come from all files. The best of them gives the file its own licence if its cosine
+    templates, by the cosine of sparse TF-IDF vectors whose document counts come from all files. The best of them (of equal ones the first by the licence's name) gives the file its own licence if its cosine
     reaches ``least``. A text with a cue word is also compared as a whole with the full licence texts; from a cosine of WHOLE on it has that licence and is a
     licence file. So is a file in which matching lines and windows hold ``share`` of its tokens or more. A licence file's
     licence is its directory's (of several, the one with the highest cosine, then the smallest path). A
     file without a licence of its own inherits by a join of its directories, from the deepest up, with those that have one.
 
+    A text of any length is compared as a whole, in one task.
+
     One row per input row: ``doc_id``, ``path``, ``license`` (null if none), ``origin`` ("own", "inherited" or "none"), ``cosine`` (of the own line, else null),
     ``from_dir`` (of an inherited licence). Null or empty texts have no licence of their own; a file with a null path inherits nothing. A null id stays null. Rows that
     repeat are answered each. An empty table gives no rows. Other columns are ignored.
@@ -217,7 +221,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                     for cosine, name, a, b in hits:
                         if cosine >= least:
                             inside[a:b] = True
-                            if cosine > cosines[row]:
+                            if (-cosine, name) < (-cosines[row], names[row] or ""):
                                 cosines[row], names[row] = cosine, name
                     is_file[row] = bool(inside.sum() >= share * len(own)) if names[row] else False
                     cosine, name = windows.whole(own)
@@ -234,8 +238,21 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     dirs = own.where("own is null and path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up")).distinct()
-    nearest = above.join(by_dir.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "up"), F.length("up")).alias("near"))
-    found = own.join(nearest, "dir", "left")
+    nearest = above.join(by_dir.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "up"), F.length("up")).alias("near")).checkpoint()
+    found = with_nearest(own, nearest)
     inherited = F.col("own").isNull() & F.col("path").isNotNull() & F.col("near").isNotNull()
     origin = F.when(F.col("own").isNotNull(), "own").when(inherited, "inherited").otherwise("none")
     return found.select("doc_id", "path", F.coalesce("own", F.when(inherited, F.col("near.license"))).alias("license"), origin.alias("origin"), "cosine", F.when(inherited, F.col("near.up")).alias("from_dir"))
+
+
+def with_nearest(own: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Files with what their directory inherits. A directory may hold most of the files, so they aren't dealt by it alone.
+
+    ``nearest``, whose size is measured, is broadcast up to BROADCAST bytes. Beyond that each directory's row is repeated SALTS times, and its files are dealt
+    over the copies.
+    """
+    size = nearest.agg(F.sum(F.octet_length("dir") + F.octet_length("near.up") + F.octet_length("near.license") + 100)).first()[0] or 0
+    if size <= BROADCAST:
+        return own.join(F.broadcast(nearest), "dir", "left")
+    salts = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int")).join(salts, ["dir", "salt"], "left").drop("salt")
