@@ -125,8 +125,9 @@ def expected_groups(rows, k, percent):
     return sorted((i, len(s), name[i], name[i] == i) for i, s in sets.items())
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "share"), [(3, 85, near_dedup.SHARE), (3, 85, 12), (5, 80, 2)])  # all, some and no fingerprints are hot
+def test_near_duplicates(spark, monkeypatch, k, percent, share):
+    monkeypatch.setattr(near_dedup, "SHARE", share)
     found = near_dedup.near_duplicates(docs(spark, texts()), k=k, percent=percent)
     assert sorted(map(tuple, found.collect())) == expected_groups(texts(), k, percent)
 

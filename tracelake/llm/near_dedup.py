@@ -19,6 +19,8 @@ BINS, MISS = 384, 1e-6
 DRAWN = 3
 #: Members of a bucket that are compared with each other, or with as many others, in one go.
 BLOCK = 1024
+#: A fingerprint that more than one document in SHARE has is dealt over SALTS tasks.
+SHARE, SALTS = 1000, 64
 
 
 def rows_in_band(percent: int) -> int:
@@ -161,11 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables.drop()
 
     reps = classes.select("print", "v").join(labels, "v", "left").select("print", F.coalesce("component", "v").alias("component"))
-    found = signed.select("doc", "n", "print").join(reps, "print", "left")
+    found = with_class(signed.select("doc", "n", "print"), reps)
     component = F.coalesce("component", "doc")
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
 
 
+def with_class(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents with the row of their fingerprint. Fingerprints of more than one document in SHARE, of which there are less than SHARE, are dealt over SALTS copies of their row."""
+    most = signed.count() / SHARE
+    hot = signed.where("n > 0").groupBy("print").agg(F.count("*").alias("held")).where(F.col("held") > most).select("print", F.lit(SALTS).alias("salts"))
+    hot = F.broadcast(hot.checkpoint())
+    dealt = signed.join(hot, "print", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    copies = reps.join(hot, "print", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, ["print", "salt"], "left").drop("salt")
+
+
 def _further_stars(members: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of centres drawn by hash and the members of other components, in buckets that have more than one component.
 
