@@ -20,7 +20,7 @@ LENGTHS, LEVELS = (4, 5, 6), (1, 2, 4)
 #: Features chosen; how many documents of the sample must have one; parts of the sample that set the threshold in turn.
 CHOSEN, SUPPORT, FOLDS = 1024, 3, 3
 #: Features of a part of a partition that are counted in one go.
-PART = 2_000_000
+PART = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(3)  # the last two bits of a feature tell the level
 
