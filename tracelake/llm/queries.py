@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each over the whole of its table, with production parameters."""
+"""The registered queries of the operators: each over the whole of its table, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, decontaminate, licenses, lm_score, near_dedup, quality, sentencepiece_codec, substring_dedup, token_count, toxicity
+from . import ann, decontaminate, lexical, licenses, lm_score, near_dedup, quality, resample, sentencepiece_codec, simhash, substring_dedup, token_count, toxicity
 
 #: Vocabulary files of public tokenizers.
 RANKS, PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
@@ -62,6 +62,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_near_dedup": op2_near_dedup,
@@ -73,10 +85,14 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_lm_score": f"""
@@ -134,4 +150,42 @@ m AS (
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, count(m.i) FILTER (WHERE gone = 1) AS n_removed,
        sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (WHERE gone = 0), '')) AS kept_sha256
 FROM w LEFT JOIN m ON m.doc_id = w.doc_id GROUP BY w.doc_id, w.ws""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT doc_id, coalesce({_TERMS}, []) AS ws FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+a AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+t AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), a),
+v AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)) AS v FROM t, a WHERE term IN (SELECT term FROM q)),
+s AS (SELECT item_id, doc_id, CAST(sum(w * v) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN v USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_importance_resampling": f"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY b) AS crcs FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) t(b))),
+d AS (SELECT doc_id, coalesce({_TERMS}, []) AS ws FROM documents),
+f AS (SELECT doc_id, unnest(ws) AS word FROM d),
+g AS (SELECT unnest(coalesce({_TERMS}, [])) AS word FROM benchmark),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM f UNION SELECT word FROM g)),
+b AS (
+  SELECT word, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, len(h), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS UBIGINT))),
+    lambda c, x: xor(c >> 8, crcs[CAST(xor(c & 255, x) AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) % 10000 AS bucket
+  FROM words, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (word) GROUP BY 1),
+a AS (SELECT (SELECT count(*) FROM f) AS all_s, (SELECT count(*) FROM g) AS all_t),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), a),
+w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN b USING (word) JOIN gain USING (bucket) GROUP BY 1),
+h AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', sha256('2024:' || doc_id)[i]) - 1) * (CAST(1 AS BIGINT) << CAST(32 - 4 * i AS BIGINT)))) AS h
+  FROM d LEFT JOIN w USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT x.*, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
 }
