@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from urllib.parse import unquote
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+#: What a URI has before its path; a URI's scheme, authority and path.
+SCHEME = "(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/]*)?"
+URI = "(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/]*))?(.*)"
+
 
 def hadoop(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path of any scheme."""
@@ -34,29 +43,101 @@ def read_text_file(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def list_files(spark: SparkSession, root: str, names: str = "*", folder: str | None = None) -> DataFrame:
-    """(path, length) of the files below ``root`` whose base name matches ``names``, as paths relative to it.
+class Place(NamedTuple):
+    """A URI in its parts; Hadoop writes them unescaped."""
 
-    With ``folder``, only files directly in that folder. Contents aren't read. The scan itself leaves out empty files, so the paths come from
-    its file index (which the driver holds anyway) and the lengths from the scan.
-    """
-    if folder is None:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
-    else:
-        pattern = f"{root.rstrip('/')}/{folder.strip('/')}/{names}"
-        if not exists(spark, pattern):
-            return spark.createDataFrame([], "path string, length long")
-        files = spark.read.format("binaryFile").load(pattern)
-    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
-    full = listed.select(_relative(spark, root, "path").alias("path"))
-    sized = files.select(_relative(spark, root, "path").alias("path"), "length")
-    return full.join(sized, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    scheme: str
+    authority: str
+    path: str
+
+
+def parsed(uri: str) -> Place:
+    """``scheme:path``, ``scheme:/path``, ``scheme://authority/path`` or a plain path."""
+    scheme, authority, path = re.fullmatch(URI, uri, re.DOTALL).groups()
+    return Place(scheme or "", authority or "", path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a path, as scans name their files."""
+    files, where = hadoop(spark, path)
+    return files.makeQualified(where).toString()
 
 
-def _relative(spark: SparkSession, root: str, column: str | Column) -> Column:
-    """A full path without its scheme and ``root``."""
-    start = hadoop(spark, root)[1].toUri().getPath().rstrip("/")
-    return F.substr(F.regexp_replace(column, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), F.lit(len(start) + 2))
+def relative(root: str, column: str | Column) -> Column:
+    """What follows ``root`` in a full path below it; only the paths of both are compared, not how scheme and authority are written."""
+    start = parsed(root).path.rstrip("/")
+    return F.substr(F.regexp_replace(column, f"^{SCHEME}", ""), F.lit(len(start) + 2))
+
+
+def arrow_store(uri: str):
+    """The Arrow file system of a URI and the path on it, or None if Arrow has none for the scheme. Credentials and libraries are the process's own."""
+    where = parsed(uri)
+    host, _, port = where.authority.partition(":")
+    if where.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), where.path
+    if where.scheme in ("s3", "s3a", "s3n"):
+        return pafs.S3FileSystem(), where.authority + where.path
+    if where.scheme == "gs":
+        return pafs.GcsFileSystem(), where.authority + where.path
+    if where.scheme == "hdfs":
+        try:
+            return pafs.HadoopFileSystem(host or "default", int(port or 0)), where.path
+        except OSError:  # its native library isn't installed
+            return None
+    return None
+
+
+def name_pattern(names: str) -> str:
+    """A regular expression of a glob with ``*``, ``?`` and alternatives in braces."""
+    parts = {"*": "[^/]*", "?": "[^/]", "{": "(?:", ",": "|", "}": ")"}
+    return "".join(parts.get(c, re.escape(c)) for c in names)
+
+
+def list_files(spark: SparkSession, root: str, names: str = "*", folder: str | None = None, store: Callable = arrow_store) -> DataFrame:
+    """(path, length) of the files below ``root`` whose base name matches ``names``, as paths relative to it.
+
+    With ``folder``, only files directly in that folder. Folders are rows: each is listed by a task, and the folders that it holds are the rows of the
+    next round, so rounds number the depth and no name comes to the driver. Tasks use the file system that ``store`` gives for the root's URI. As in scans, names
+    that begin with "_" or "." are left out. Where ``store`` gives none, Spark's own listing is used; it leaves out empty files.
+    """
+    ship(spark)
+    base = qualified(spark, root if folder is None else f"{root.rstrip('/')}/{folder.strip('/')}")
+    prefix = "" if folder is None else f"{folder.strip('/')}/"
+    if store(base) is None:
+        return _scanned(spark, root, base, names, folder is None)
+    deep, pattern = folder is None, name_pattern(names)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = store(base)
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                selector = pafs.FileSelector(f"{top.rstrip('/')}/{path}".rstrip("/") or "/", allow_not_found=True)
+                held = [x for x in files.get_file_info(selector) if x.base_name[:1] not in ("_", ".")]
+                held = [x for x in held if x.type == pafs.FileType.File and re.fullmatch(pattern, x.base_name) or deep and x.type == pafs.FileType.Directory]
+                found = [f"{path}/{x.base_name}" if path else x.base_name for x in held]
+                folders = [x.type == pafs.FileType.Directory for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([x.size or 0 for x in held], pa.int64()), pa.array(folders, pa.bool_())], names=["path", "length", "folder"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while files is None or not level.isEmpty():
+        entries = level.repartition("path").mapInArrow(visit, "path string, length long, folder boolean").checkpoint()
+        here = entries.where("not folder").select(F.concat(F.lit(prefix), "path").alias("path"), "length")
+        files = here if files is None else files.union(here)
+        level = entries.where("folder").select("path")
+    return files
+
+
+def _scanned(spark: SparkSession, root: str, base: str, names: str, deep: bool) -> DataFrame:
+    """list_files() by a scan's metadata; contents aren't read."""
+    if not exists(spark, base):
+        return spark.createDataFrame([], "path string, length long")
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", str(deep).lower())
+    return scan.load(base).select(relative(qualified(spark, root), _decoded("_metadata.file_path")).alias("path"), "length")
+
+
+def _decoded(path: str) -> Column:
+    """A path as a scan's metadata has it, without escapes."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
 def read_contents(spark: SparkSession, root: str, keep: Callable[[Column], Column], names: str = "*") -> DataFrame:
@@ -67,8 +148,7 @@ def read_contents(spark: SparkSession, root: str, keep: Callable[[Column], Colum
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, text string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
-    decoded = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-    path = _relative(spark, root, decoded)
+    path = relative(qualified(spark, root), _decoded("_metadata.file_path"))
     return files.where(keep(path)).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
