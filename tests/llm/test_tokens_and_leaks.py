@@ -164,40 +164,91 @@ def test_document_counts_are_over_all_files(spark):
     assert (total, counts) == (len(texts()), {"one": 2, "two": 2, "zzz": 0})
 
 
+NOTICES = [
+    ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("# SPDX-License-Identifier: (mit OR Apache-2.0+)", "(MIT OR Apache-2.0)"),
+    ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"),
+    ("SPDX-License-Identifier: Zlib", "Zlib"),
+    ("SPDX-License-Identifier:", None),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "AGPL-3.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GPL-3.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 4", None),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License version 2", None),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "LGPL-2.1"),
+    ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("Licensed under the Apache License, Version 1.1", "Apache-1.1"),
+    ("Licensed under the Apache License, Version 1.0", None),
+    ("Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY 3.0.", None),
+    ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Licensed under the BSD 2-Clause License", "BSD-2-Clause"),
+    ("Licensed under the BSD 4-Clause License", None),
+    ("Licensed under the Example License, version 7", None),
+]
+
+
+def test_notices_are_named_right_or_not_at_all(spark):
+    rows = [(k, f"d{k}/x", text) for k, (text, _) in enumerate(NOTICES)] + [(1000 + k, f"p{k}/x", prose(k, 30)) for k in range(300)]
+    files = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(files, F.col("file")).where("doc_id < 1000").collect()}
+    assert [(text, got[k]) for k, (text, _) in enumerate(NOTICES)] == NOTICES
+
+
+def test_full_texts_are_told_apart(spark):
+    head = "Copyright (c) 2021 Some Body. All rights reserved.\n\n"
+    rows = [(k, f"d{k}/LICENSE", head + textwrap.fill(text, 70)) for k, (_, text) in enumerate(licenses.TEXTS)]
+    rows += [(100 + k, f"h{k}/x.c", f"{head}{textwrap.fill(dict(licenses.TEXTS)[name], 60)}\n{prose(k, 4000)}") for k, name in enumerate(("BSD-2-Clause", "BSD-3-Clause", "ISC"))]
+    files = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(files, F.col("file")).collect()}
+    assert [got[k] for k in range(len(licenses.TEXTS))] == [name for name, _ in licenses.TEXTS]
+    assert [got[100 + k] for k in range(3)] == ["BSD-2-Clause", "BSD-3-Clause", "ISC"]
+
+
 def slow_scan(rows, least=0.6, share=0.5):
     """Licences by plain loops over dictionaries."""
     bags = [licenses.terms(t or "") for _, _, t in rows]
-    vocabulary = sorted({t for _, text in (*licenses.TEMPLATES, *license_texts.TEXTS) for t in licenses.terms(text)})
+    vocabulary = sorted({t for _, text in (*licenses.TEMPLATES, *licenses.TEXTS) for t in licenses.terms(text)})
     matcher = licenses.Matcher(len(rows), {t: sum(t in set(bag) for bag in bags) for t in vocabulary})
-    full = [(name, matcher._vector(licenses.terms(text))) for name, text in license_texts.TEXTS]
+    full = [(name, matcher._vector(licenses.terms(text))) for name, text in licenses.TEXTS]
 
     def cosine(words, template):
         vector = matcher._vector(words)
         return round(sum(x * vector.get(t, 0.0) for t, x in template.items()), 9)
 
     def window(bag, cue):
-        spans = []
-        for (name, text), (_, template) in zip(licenses.TEMPLATES, matcher.templates, strict=True):
+        spans, marks = [], licenses.marks_of(bag)
+        for (name, text), (_, template, facts) in zip(licenses.TEMPLATES, matcher.templates, strict=True):
             n = len(licenses.terms(text))
             at = [(max(0, start), min(start + n, len(bag))) for start in range(cue - n + 1, cue + 1)]
             best, a, b = min((-cosine(bag[a:b], template), a, b) for a, b in at)
-            spans.append((best, name, a, b))
-        return min(spans)
+            if facts.fit(marks, a, b):
+                spans.append((best, name, a, b))
+        return min(spans, default=(0.0, "", 0, 0))
 
     own = []
     for (_, _, text), bag in zip(rows, bags, strict=True):
-        hits, at = [], 0
+        hits, at, tags = [], 0, []
         for line in re.split("(?<=[\n\r])", text or ""):
             words = licenses.terms(line)
             if set(words) & set(licenses.CUES):
                 best, name = matcher.best(line)
-                hits.append((best, name, at, at + len(words)))
+                tags += [licenses.tagged(line)] if licenses.tagged(line) else []
+                hits.append((best, name, at, at + len(words)) if not licenses.tagged(line) else (-1.0, licenses.tagged(line), at, at + len(words)))
             at += len(words)
         hits += [window(bag, k) for k, word in enumerate(bag) if word in licenses.CUES]
         good = [h for h in hits if -h[0] >= least]
         found, covered = min((h[:2] for h in good), default=(0.0, None)), {k for h in good for k in range(h[2], h[3])}
         is_file = bool(good) and len(covered) >= share * len(bag)
-        if set(bag) & set(licenses.CUES):
+        if tags:
+            found = -1.0, tags[0]
+        elif set(bag) & set(licenses.CUES):
             whole = min((-cosine(bag, template), name) for name, template in full)
             if -whole[0] >= licenses.WHOLE:
                 found, is_file = whole, True
