@@ -1,8 +1,12 @@
 """Runs of the closed-form trial: golden signatures, resume after each kind of damage."""
 
+import json
 import math
+import os
 import pathlib
 import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -12,7 +16,7 @@ from tracelake import report
 from tracelake.operators import metrics as M
 from tracelake.operators import store
 from tracelake.operators.audit import leftovers, missing_media
-from tracelake.operators.runner import TrialSpec, run_plan, same_seed
+from tracelake.operators.runner import TrialSpec, run_plan, same_seed, task_profile
 from tracelake.operators.signature import exact_signature, identity, signature
 from tracelake.plans.grid import expand_grid
 
@@ -191,6 +195,49 @@ def test_report(spark, tmp_path, capsys):
         report.grouped(spark, run.path, "x")
 
 
+def test_report_starts_as_a_script(tmp_path):
+    script = pathlib.Path(report.__file__)
+    alone = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for command in ([sys.executable, str(script)], [sys.executable, "-m", "tracelake.report"]):
+        where = script.parent.parent if "-m" in command else tmp_path
+        done = subprocess.run([*command, "--help"], cwd=where, env=alone, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0 and "--group-by" in done.stdout, done.stderr
+
+
+CLUSTER = """
+import json, sys
+from pyspark.sql import SparkSession
+from tests.test_runs import plan, spec
+from tracelake.operators.runner import TrialSpec, execute, score, task_profile
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", sys.argv[2]).config("spark.eventLog.compress", "false").getOrCreate()
+rows = plan(spark).withColumn("episode_index", __import__("pyspark.sql.functions").sql.functions.lit(0).cast("long"))
+made = spec()
+usual, wide = execute(rows, made).count(), execute(rows, TrialSpec(made.factory, "mock", "1", task_cpus=2)).count()
+scored = score(spark.range(4), lambda: lambda frame: frame, "id long", profile=task_profile(2)).count()
+assert (usual, wide, scored) == (6, 6, 4)
+spark.stop()
+"""
+
+
+def test_resources_hold_for_the_stage_of_the_function(tmp_path):
+    (tmp_path / "events").mkdir()
+    env = os.environ | {"PYTHONPATH": os.getcwd(), "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", CLUSTER, f"file://{tmp_path}/shared", f"file://{tmp_path}/events"], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    logs = [json.loads(line) for path in (tmp_path / "events").rglob("*") if path.is_file() and not path.name.endswith(".crc") for line in path.read_text().splitlines() if line.startswith("{")]
+    added = {e["Resource Profile Id"]: e["Task Resource Requests"]["cpus"]["Amount"] for e in logs if e["Event"] == "SparkListenerResourceProfileAdded"}
+    used = {e["Stage Info"]["Resource Profile Id"] for e in logs if e["Event"] == "SparkListenerStageSubmitted"}
+    assert sorted(added[k] for k in used if k) == [2.0, 2.0] and 0 in used
+
+
+def test_profiles_are_checked():
+    assert task_profile() is None and TrialSpec(object, "f", "1").profile() is None
+    both = TrialSpec(object, "f", "1", task_cpus=4, task_gpus=0.5).profile().taskResources
+    assert {name: request.amount for name, request in both.items()} == {"cpus": 4.0, "gpu": 0.5}
+    with pytest.raises(ValueError, match="negative"):
+        task_profile(-1)
+
+
 def test_specs_are_checked():
     for bad in ({"function_id": ""}, {"revision": ""}, {"control_mode": "absolute"}):
         with pytest.raises(ValueError):

@@ -22,6 +22,19 @@ def test_metrics_is_one_exchange_and_prunes(spark):
     assert plan.count("Exchange") == 1 and "text" not in plan
 
 
+def test_completeness_is_one_exchange_without_distinct(spark):
+    steps = spark.read.parquet(f"{DATA}/lineitem.parquet").select(F.col("l_orderkey").alias("episode_key"), (F.col("l_linenumber") - 1).alias("frame_index"), "l_shipdate")
+    plan = physical(M.contiguous(steps))
+    assert plan.count("Exchange") == 1 and "distinct" not in plan.lower().replace("n_distinct", "") and "l_shipdate" not in plan
+
+
+def test_bitmaps_tell_gaps_doubles_and_long_keys(spark):
+    frames = {"ok": range(70_000), "gap": [*range(40_000), *range(40_001, 70_000)], "double": [*range(39_999), 39_998], "late": range(1, 5), "low": range(-1, 3), "swap": [0, 1, 1, 3], "one": [0], "null": [0, 1, None]}
+    rows = spark.createDataFrame([(k, f) for k, own in frames.items() for f in own], "episode_key string, frame_index long")
+    assert dict(map(tuple, M.contiguous(rows).collect())) == {"ok": 70_000, "one": 1, "null": 2}
+    assert dict(map(tuple, M.contiguous(rows, first=1).collect())) == {"late": 4}
+
+
 def test_grid_has_no_join(spark):
     tasks = spark.range(3).selectExpr("'s' suite", "'v' suite_variant", "'p' perturbation", "id task_id", "string(id) task_key", "'n' task_name", "'i' instruction", "'b' bddl_path", "'t' init_path")
     plan = physical(expand_grid(tasks, "b", "r", 3))

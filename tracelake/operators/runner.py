@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,6 +46,13 @@ class TrialSpec:
     revision: str
     control_mode: str = "relative"
     metadata: Mapping[str, Any] = field(default_factory=dict)
+    #: What a task takes of an executor while the function runs; 0 leaves it to the session.
+    task_cpus: int = 0
+    task_gpus: float = 0.0
+
+    def profile(self) -> ResourceProfile | None:
+        """Resources of the stage that runs the function, and of no other stage; None for the session's own."""
+        return task_profile(self.task_cpus, self.task_gpus)
 
     def __post_init__(self):
         if not self.function_id or not self.revision:
@@ -53,6 +61,16 @@ class TrialSpec:
             raise ValueError("control mode must be 'relative'")
 
 
+def task_profile(cpus: int = 0, gpus: float = 0.0) -> ResourceProfile | None:
+    """A profile of tasks; executors stay as they are, so Spark only deals fewer tasks to each while it holds."""
+    if cpus < 0 or gpus < 0:
+        raise ValueError("resources can't be negative")
+    if not cpus and not gpus:
+        return None
+    wanted = TaskResourceRequests().cpus(cpus or 1)
+    return ResourceProfileBuilder().require(wanted.resource("gpu", gpus) if gpus else wanted).build
+
+
 def _made(spec: TrialSpec) -> TrialFunction:
     """A function whose declarations fit; one that doesn't runs nothing."""
     made = spec.factory()
@@ -99,7 +117,7 @@ def _timing(rows: list[dict], traces: list[dict], started: float, fallback: str
 def execute(rows: DataFrame, spec: TrialSpec, batch: int = BATCH) -> DataFrame:
     """Plan rows with their traces. The function is made once for each task, at its first row, and closed at its end.
 
-    The first trace of a batch carries the batch's timing.
+    The first trace of a batch carries the batch's timing. The stage runs with the spec's resources.
     """
     timing = StructType([StructField("timing", StructType.fromDDL(TIMING_DDL))])
     schema = StructType([*rows.schema.fields, *TRACE_SCHEMA.fields, *timing.fields])
@@ -130,7 +148,7 @@ def execute(rows: DataFrame, spec: TrialSpec, batch: int = BATCH) -> DataFrame:
             if made is not None and callable(getattr(made, "close", None)):
                 made.close()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema, profile=spec.profile())
 
 
 def run_plan(
@@ -193,8 +211,11 @@ def _fields(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (part.split(" ", 1) for part in ddl.split(", ")))
 
 
-def score(observations: DataFrame, factory: Callable[[], Callable[[Any], Any]], schema: str, batch: int = 512) -> DataFrame:
-    """Rows scored by a user's model, made once for each task: it gets pandas frames and returns frames of ``schema``."""
+def score(observations: DataFrame, factory: Callable[[], Callable[[Any], Any]], schema: str, batch: int = 512, profile: ResourceProfile | None = None) -> DataFrame:
+    """Rows scored by a user's model, made once for each task: it gets pandas frames and returns frames of ``schema``.
+
+    ``profile`` (see :func:`task_profile`) holds for the scoring stage alone.
+    """
 
     def run(frames):
         model = factory()
@@ -202,4 +223,4 @@ def score(observations: DataFrame, factory: Callable[[], Callable[[Any], Any]],
             for at in range(0, len(frame), batch):
                 yield model(frame.iloc[at : at + batch])
 
-    return observations.mapInPandas(run, schema)
+    return observations.mapInPandas(run, schema, profile=profile)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.operators.metrics import metrics
-from tracelake.operators.store import read_run
+if not __package__:  # started as a script: the package's parent isn't on the path
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tracelake.operators.metrics import metrics  # noqa: E402
+from tracelake.operators.store import read_run  # noqa: E402
 
 
 def grouped(spark: SparkSession, path: str, group_by: str = "") -> DataFrame:
