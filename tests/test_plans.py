@@ -109,6 +109,28 @@ def test_validation(spark):
     assert validate.duplicates(good.union(good), "episode_key").count() == 4
 
 
+def test_prepared_plans_are_checked_in_one_pass(spark, tmp_path):
+    good, count = plan(spark), iter(range(100))
+    folder = lambda: str(tmp_path / str(next(count)))
+    whole = validate.canonical(good)
+    executions = spark._jsparkSession.sharedState().statusStore().executionsCount
+    before = executions()
+    made = validate.prepared(good, folder())
+    assert executions() - before <= 3  # the write with its counts, and the hash that finds repeated keys
+    assert made.n_rows == 4 and made.content_hash == validate.plan_hash(whole) and sorted(made.rows.collect()) == sorted(whole.collect())
+    assert validate.prepared(good, folder(), rows_in_bucket=1).content_hash == validate.plan_hash(whole, rows_in_bucket=1)
+    wrong = {
+        "produced no episodes": good.where("false"),
+        "null 'suite'": plan(spark, suite=F.when(F.col("init_state_id") == 0, F.col("suite"))),
+        "duplicate episode keys": good.union(good),
+        "duplicate episode ids": plan(spark, episode_id="x"),
+        "missing required columns": good.drop("seed"),
+    }
+    for message, rows in wrong.items():
+        with pytest.raises(ValueError, match=message):
+            validate.prepared(rows, folder())
+
+
 def test_index_by_window_and_by_ranges(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     for limit in (10_000, 10):

@@ -7,18 +7,22 @@ import pathlib
 import shutil
 import subprocess
 import sys
+import threading
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake import report
+from tracelake.operators import compaction, ledger, store
 from tracelake.operators import metrics as M
-from tracelake.operators import store
-from tracelake.operators.audit import leftovers, missing_media
+from tracelake.operators.audit import damage, leftovers, missing_media
 from tracelake.operators.runner import TrialSpec, run_plan, same_seed, task_profile
 from tracelake.operators.signature import exact_signature, identity, signature
 from tracelake.plans.grid import expand_grid
+from tracelake.schemas import STEP_SCHEMA
 
 # Signatures that a right run of the closed-form trial has.
 EPISODES_SHA256 = "b4d7cd10f80d2dca273f3806e0ac801bdaee6b807d6ee01409ad846aaf208e61"
@@ -77,6 +81,18 @@ def spec(made=None, fail_at=None, together=False, size=7):
     return TrialSpec(Batch if together else Trial, "mock", "1")
 
 
+@pytest.fixture(scope="module")
+def base(spark, tmp_path_factory):
+    """A whole run in each layout, to be copied."""
+    out = tmp_path_factory.mktemp("base")
+    return {layout: run_plan(plan(spark), spec(), str(out / layout), layout=layout).path for layout in ("key", "bucket")}
+
+
+def copied(spark, base, to, layout="key"):
+    """A copy of a run below the folder ``to``, which a run of the same plan resumes."""
+    return store.read_run(spark, str(shutil.copytree(base[layout], to / pathlib.Path(base[layout]).name)))
+
+
 def golden(run):
     assert (run.episodes.count(), run.steps.count()) == (6, 36)
     assert exact_signature(run.episodes, ["episode_index"], EPISODE_COLUMNS) == EPISODES_SHA256
@@ -120,8 +136,8 @@ def test_failure_loses_one_cohort(spark, tmp_path):
     golden(run_plan(plan(spark), spec(), str(tmp_path), cohort_size=1))
 
 
-def test_steps_without_their_episode_are_written_again(spark, tmp_path):
-    run = run_plan(plan(spark), spec(), str(tmp_path))
+def test_steps_without_their_episode_are_written_again(spark, tmp_path, base):
+    run = copied(spark, base, tmp_path)
     shutil.rmtree(pathlib.Path(run.path, "episodes"))
     assert store.read_run(spark, run.path).episodes.count() == 0
     run = run_plan(plan(spark), spec(), str(tmp_path))
@@ -129,8 +145,8 @@ def test_steps_without_their_episode_are_written_again(spark, tmp_path):
     assert M.complete_keys(run.episodes, run.steps).count() == 6
 
 
-def test_broken_file_and_stray_folder(spark, tmp_path):
-    run = run_plan(plan(spark), spec(), str(tmp_path))
+def test_broken_file_and_stray_folder(spark, tmp_path, base):
+    run = copied(spark, base, tmp_path)
     file = next(pathlib.Path(run.path, "steps").glob("episode_key=*/*.parquet"))
     file.write_bytes(b"truncated parquet")
     pathlib.Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
@@ -140,8 +156,8 @@ def test_broken_file_and_stray_folder(spark, tmp_path):
 
 
 @pytest.mark.parametrize("damage", ["frame_index > 0", "frame_index <> 2", "frame_index < 3"])
-def test_gaps_leave_an_episode_pending(spark, tmp_path, damage):
-    run = run_plan(plan(spark), spec(), str(tmp_path))
+def test_gaps_leave_an_episode_pending(spark, tmp_path, base, damage):
+    run = copied(spark, base, tmp_path)
     key = run.episodes.first()["episode_key"]
     steps = run.steps.where(f"episode_key = '{key}' AND {damage}").checkpoint()
     store.write_partitions(steps, f"{run.path}/steps")
@@ -149,6 +165,137 @@ def test_gaps_leave_an_episode_pending(spark, tmp_path, damage):
     golden(run_plan(plan(spark), spec(), str(tmp_path)))
 
 
+def steps_files(run):
+    return sorted(p for p in pathlib.Path(run.path, "steps").glob("*=*/*.parquet"))
+
+
+def cut_short(file):
+    file.write_bytes(file.read_bytes()[:50])
+    pathlib.Path(file.parent, f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def empty_attempt(spark, run):
+    store.append_buckets(run.steps.where("frame_index > 0"), f"{run.path}/steps", 9 * 10**15)
+    store.append_buckets(run.episodes, f"{run.path}/episodes", 9 * 10**15)
+
+
+def split_file(spark, run, drop=""):
+    """An episode's steps in two files of its folder."""
+    key = run.episodes.first()["episode_key"]
+    rows = run.steps.where(f"episode_key = '{key}'{drop}").checkpoint()
+    store.write_partitions(rows.repartition(2, "frame_index"), f"{run.path}/steps")
+
+
+FAULTS = {
+    "cut": lambda spark, run: cut_short(steps_files(run)[0]),
+    "gone": lambda spark, run: steps_files(run)[-1].unlink(),
+    "no steps": lambda spark, run: shutil.rmtree(pathlib.Path(run.path, "steps")),
+    "no episodes": lambda spark, run: shutil.rmtree(pathlib.Path(run.path, "episodes")),
+    "no ledger": lambda spark, run: shutil.rmtree(pathlib.Path(run.path, "ledger")),
+    "broken ledger": lambda spark, run: [cut_short(p) for p in pathlib.Path(run.path, "ledger").glob("*.parquet")],
+    "stray": lambda spark, run: spark.range(3).withColumnRenamed("id", "junk").coalesce(1).write.parquet(f"{run.path}/steps/rogue"),
+    "junk": lambda spark, run: pathlib.Path(steps_files(run)[0].parent, "junk.parquet").write_bytes(b"no parquet"),
+    "twice": lambda spark, run: shutil.copy(steps_files(run)[0], steps_files(run)[0].with_name("copy.parquet")),
+}
+KEY_FAULTS = FAULTS | {"split": split_file, "split with a gap": lambda spark, run: split_file(spark, run, " AND frame_index <> 1")}
+BUCKET_FAULTS = FAULTS | {"bad attempt": empty_attempt}
+
+
+@pytest.mark.parametrize("layout", ["key", "bucket"])
+def test_ledger_tells_what_a_whole_scan_does(spark, tmp_path, monkeypatch, base, layout):
+    read = []
+    monkeypatch.setattr(ledger, "steps_of", lambda s, root, paths, own=ledger.steps_of: read.extend(paths) or own(s, root, paths))
+    for fault, make in (KEY_FAULTS if layout == "key" else BUCKET_FAULTS).items():
+        run = copied(spark, base, tmp_path / fault, layout)
+        make(spark, run)
+        read.clear()
+        found = sorted(map(tuple, store.completed(spark, run.path).collect()))
+        assert found == sorted(map(tuple, store.completed(spark, run.path, whole=True).collect())), fault
+        most = {"no ledger": 6, "broken ledger": 6, "bad attempt": 6, "twice": 3, "split": 4, "split with a gap": 4, "cut": 1, "junk": 1}.get(fault, 0)
+        assert len(read) <= most, fault  # the run noted its own files
+        if fault in ("cut", "junk"):
+            read.clear()
+            assert store.completed(spark, run.path).count() == len(found) and read == []  # what can't be read isn't tried again
+
+
+def test_ledger_gives_way_to_a_scan_of_many_files(spark, tmp_path, monkeypatch, base):
+    run = copied(spark, base, tmp_path)
+    shutil.rmtree(pathlib.Path(run.path, "ledger"))
+    monkeypatch.setattr(ledger, "FILES", 3)
+    assert store.completed(spark, run.path).count() == 6 and not pathlib.Path(run.path, "ledger").exists()
+
+
+class Killed(Exception):
+    pass
+
+
+def killed_at(number):
+    left = [number]
+
+    def step(name):
+        left[0] -= 1
+        if left[0] < 0:
+            raise Killed(name)
+
+    return step
+
+
+def many_attempts(spark, out):
+    run = run_plan(plan(spark), spec(), out, layout="bucket", cohort_size=3)
+    empty_attempt(spark, run)  # newer and not complete
+    store.append_buckets(run.steps, f"{run.path}/steps", 5)  # older and complete
+    store.append_buckets(run.episodes, f"{run.path}/episodes", 5)
+    return run
+
+
+def test_compaction_survives_being_killed_anywhere(spark, tmp_path):
+    run = many_attempts(spark, str(tmp_path))
+    files = lambda: [p for p in pathlib.Path(run.path).glob("*/key_bucket=*/*.parquet")]
+    before, steps = len(files()), 0
+    while True:
+        try:
+            compaction.compact(spark, run.path, checkpoint=killed_at(steps))
+        except Killed:
+            steps += 1 if steps < 2 else 20
+            golden(store.read_run(spark, run.path))
+            continue
+        break
+    golden(store.read_run(spark, run.path))
+    assert store.completed(spark, run.path).count() == 6
+    assert steps > 20 and len(files()) == 12 < before / 2 and compaction.compact(spark, run.path) == 0
+    made = tmp_path / "made"
+    golden(run_plan(plan(spark), spec(made=str(made)), str(tmp_path), layout="bucket"))
+    assert not made.exists()
+
+
+def test_compaction_of_nothing(spark, tmp_path):
+    store.write_manifest(spark, str(tmp_path), "a", {})
+    assert compaction.compact(spark, str(tmp_path)) == 0
+
+
+def test_a_run_leaves_nothing_staged(spark, tmp_path):
+    with pytest.raises(Exception, match="broken trial"):
+        run_plan(plan(spark), spec(fail_at="mock/mock/0/1/7"), str(tmp_path), cohort_size=1)
+    run = run_plan(plan(spark), spec(), str(tmp_path), cohort_size=2)
+    assert [p.name for p in tmp_path.iterdir()] == [run.run_id]
+    assert {p.name for p in pathlib.Path(run.path).iterdir() if not p.name.startswith(".")} == {"manifest.json", "steps", "episodes", "timings", "ledger"}
+
+
+def test_damaged_files_are_named(spark, tmp_path, base):
+    run = copied(spark, base, tmp_path)
+    assert damage(spark, f"{run.path}/steps", STEP_SCHEMA).count() == 0
+    files = steps_files(run)
+    cut_short(files[0])
+    wrong = pq.read_table(files[1])
+    pq.write_table(wrong.set_column(wrong.schema.get_field_index("reward"), "reward", pa.array(["x"] * len(wrong))), files[1])
+    pathlib.Path(files[1].parent, f".{files[1].name}.crc").unlink(missing_ok=True)
+    (files[2].parent / "notes.txt").write_text("x")
+    spark.range(3).coalesce(1).write.parquet(f"{run.path}/steps/rogue")
+    found = {(r["path"].split("/")[0][:12], r["problem"]): (r["n_footer"], r["n_read"]) for r in damage(spark, f"{run.path}/steps", STEP_SCHEMA).collect()}
+    names = [f.parent.name[:12] for f in files]
+    assert found == {(names[0], "unreadable"): (None, 0), (names[1], "wrong types"): (len(wrong), 0), (names[2], "stray"): (None, None), ("rogue", "stray"): (3, None)}
+
+
 def test_changed_plans_are_other_runs(spark, tmp_path):
     ids = {run_plan(p, spec(), str(tmp_path)).run_id for p in (plan(spark), plan(spark, instruction="x"), plan(spark, bddl_path="x"), plan(spark, init_path="x"), plan(spark, task_name="x"), plan(spark, max_steps=21))}
     assert len(ids) == 6
@@ -255,6 +402,30 @@ def test_manifest_is_written_once(spark, tmp_path):
     assert identity({"b": 1, "a": "é"}) == identity({"a": "é", "b": 1}) and len(identity({})) == 16
 
 
+def test_of_two_writers_at_once_one_wins(spark, tmp_path):
+    for k in range(8):
+        root, errors, begin = str(tmp_path / str(k)), [], threading.Barrier(2)
+
+        def write(n, root=root, errors=errors, begin=begin):
+            begin.wait()
+            try:
+                store.write_manifest(spark, root, f"run{n}", {"x": n, "long": "y" * 100_000})
+            except RuntimeError as error:
+                errors.append((n, str(error)))
+
+        writers = [threading.Thread(target=write, args=(n,)) for n in range(2)]
+        [w.start() for w in writers]
+        [w.join() for w in writers]
+        ((lost, message),) = errors
+        assert "conflict" in message and store.read_run(spark, root).run_id == f"run{1 - lost}"
+
+
+def test_a_manifest_that_was_never_finished(spark, tmp_path):
+    (tmp_path / "manifest.json").write_text("{")
+    with pytest.raises(RuntimeError, match="never finished"):
+        store.write_manifest(spark, str(tmp_path), "a", {})
+
+
 def test_empty_run_and_sources(spark, tmp_path):
     store.write_manifest(spark, str(tmp_path), "a", {})
     run = store.read_run(spark, str(tmp_path))

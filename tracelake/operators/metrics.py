@@ -23,17 +23,27 @@ def success_rate(episodes: DataFrame, *group_by: str) -> DataFrame:
     return counted.select(*group_by, rate.cast("double").alias("success_rate"))
 
 
-def contiguous(steps: DataFrame, key: str = "episode_key", frame: str = "frame_index", first: int = 0) -> DataFrame:
-    """(key, n_rows) of keys whose frames run from ``first`` on without a gap or a double.
+def frame_checks(steps: DataFrame, *keys: str, frame: str = "frame_index") -> DataFrame:
+    """(keys, n_rows, lo, hi, n_distinct) of the frames of each key that aren't null.
 
-    Rows are dealt by key once. Each 32,768 consecutive frames of a key are one bitmap of four kilobytes, whose ones are added up by key, so
+    Rows are dealt by the keys once. Each 32,768 consecutive frames of a key are one bitmap of four kilobytes, whose ones are added up by key, so
     neither distinct frames nor a group is ever held in memory or dealt again.
     """
-    number = F.col(frame).cast("long")
-    parts = steps.select(key, number.alias("_frame")).where("_frame is not null").repartition(key).groupBy(key, F.bitmap_bucket_number("_frame").alias("_part"))
-    parts = parts.agg(F.count("_frame").alias("n_rows"), F.min("_frame").alias("lo"), F.max("_frame").alias("hi"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_frame"))).alias("n_distinct"))
-    found = parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_distinct").alias("n_distinct"))
-    return found.where((F.col("lo") == first) & (F.col("hi") == F.col("n_rows") - 1 + first) & (F.col("n_distinct") == F.col("n_rows"))).select(key, "n_rows")
+    number = steps.select(*keys, F.col(frame).cast("long").alias("_frame")).where("_frame is not null")
+    parts = number.repartition(*keys).groupBy(*keys, F.bitmap_bucket_number("_frame").alias("_part")).agg(
+        F.count("_frame").alias("n_rows"), F.min("_frame").alias("lo"), F.max("_frame").alias("hi"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_frame"))).alias("n_distinct")
+    )
+    return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_distinct").alias("n_distinct"))
+
+
+def gapless(first: int = 0) -> Column:
+    """Whether frame_checks() tells frames from ``first`` on without a gap or a double."""
+    return (F.col("lo") == first) & (F.col("hi") == F.col("n_rows") - 1 + first) & (F.col("n_distinct") == F.col("n_rows"))
+
+
+def contiguous(steps: DataFrame, key: str = "episode_key", frame: str = "frame_index", first: int = 0) -> DataFrame:
+    """(key, n_rows) of keys whose frames run from ``first`` on without a gap or a double."""
+    return frame_checks(steps, key, frame=frame).where(gapless(first)).select(key, "n_rows")
 
 
 def complete_keys(episodes: DataFrame, steps: DataFrame) -> DataFrame:

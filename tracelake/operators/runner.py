@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from ..plans.validate import canonical, cohorts, plan_hash
+from ..plans.validate import cohorts, prepared
 from ..schemas import ACTION_SIZE, PLAN_SCHEMA, TIMING_DDL, TRACE_SCHEMA
 from ..session import ship
+from ..sources.files import delete, exists
+from . import ledger
 from .metrics import pending as pending_rows
 from .signature import identity
-from .store import Run, append_buckets, append_timings, completed, read_run, write_manifest, write_partitions
+from .store import Run, append_buckets, completed, no_nan, read_run, unusable, write_manifest, write_partitions
 from .traces import episode_table, step_table
 
 #: Rows handed to a function at a time; version of the tables' schemas, a part of each run's identity.
 BATCH, SCHEMA_VERSION = 8, 1
+#: Cohorts of a large run, unless the caller gives their size.
+COHORTS = 100
 
 
 class TrialFunction(Protocol):
@@ -71,7 +78,7 @@ def task_profile(cpus: int = 0, gpus: float = 0.0) -> ResourceProfile | None:
     return ResourceProfileBuilder().require(wanted.resource("gpu", gpus) if gpus else wanted).build
 
 
-def _made(spec: TrialSpec) -> TrialFunction:
+def made_by(spec: TrialSpec) -> TrialFunction:
     """A function whose declarations fit; one that doesn't runs nothing."""
     made = spec.factory()
     if not callable(getattr(made, "run", None)) and not callable(getattr(made, "run_batch", None)):
@@ -105,6 +112,13 @@ def _check(trace: Mapping[str, Any], key: str) -> dict:
     return {"num_steps": len(steps), **trace}
 
 
+def traces_of(made: TrialFunction, rows: list[dict]) -> list[dict]:
+    """The checked traces of rows of one seed, together if the function can."""
+    together = getattr(made, "run_batch", None)
+    traces = together(rows) if callable(together) else [made.run(r) for r in rows]
+    return [_check(t, r["episode_key"]) for t, r in zip(traces, rows, strict=True)]
+
+
 def _timing(rows: list[dict], traces: list[dict], started: float, fallback: str | None, more: Mapping[str, Any]) -> dict:
     wall, transitions = time.perf_counter() - started, sum(t["num_steps"] for t in traces)
     out = {"batch_size": len(rows), "episode_keys": [r["episode_key"] for r in rows], "wall_seconds": wall, "transitions": transitions, "transitions_per_second": transitions / wall if wall else None, "batch_fallback": fallback}
@@ -129,19 +143,19 @@ def execute(rows: DataFrame, spec: TrialSpec, batch: int = BATCH) -> DataFrame:
             for arrived in batches:
                 planned = arrived.to_pylist()
                 for part in same_seed(planned, batch):
-                    made = _made(spec) if made is None else made
+                    made = made_by(spec) if made is None else made
                     together = getattr(made, "run_batch", None)
                     out: list[dict] = []
                     if callable(together):
                         started = time.perf_counter()
-                        traces = [_check(t, r["episode_key"]) for t, r in zip(together(part), part, strict=True)]
+                        traces = traces_of(made, part)
                         profile = getattr(made, "batch_profile", None)
                         times = [_timing(part, traces, started, None, profile() if callable(profile) else {})] + [None] * (len(part) - 1)
                         out = [{**r, **t, "timing": x} for r, t, x in zip(part, traces, times, strict=True)]
                     else:
                         for r in part:
                             started = time.perf_counter()
-                            t = _check(made.run(r), r["episode_key"])
+                            (t,) = traces_of(made, [r])
                             out.append({**r, **t, "timing": _timing([r], [t], started, "no_batch_api", {})})
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
         finally:
@@ -160,51 +174,72 @@ def run_plan(
 
     The run's id follows from the function, the benchmark, the plan's content, the schemas' version, and what the caller says of the code (``implementation``, such as a
     digest of it) and of the ``environment`` (such as versions of packages); a change of any of them is another run. Pending rows are the plan without the
-    keys whose steps are complete; they are written down before the first cohort, as the tables they come from are about to change. Each cohort's traces
+    keys whose steps are complete, as the run's ledger of step files tells; they are written down before the first cohort, as the tables they come from are about to change. Each cohort's traces
     are staged, so the function runs once; then steps are written, then episodes: an episode row is the mark that its steps are there. A failure loses the cohort at
-    most. Cohorts are chosen by a filter; no row passes through the driver. If nothing is pending, no function is made.
+    most; by default there are up to COHORTS of them. Cohorts are chosen by a filter; no row passes through the driver. If nothing is pending, no function is made. What is
+    staged below ``out`` goes when the call ends, well or not.
     """
     spark = plan.sparkSession
     ship(spark)
-    whole = canonical(plan).checkpoint()
-    content = plan_hash(whole)
-    config = {
-        "schema_version": SCHEMA_VERSION,
-        "implementation": implementation,
-        "environment": dict(environment or {}),
-        "function": {"id": spec.function_id, "revision": spec.revision, "control_mode": spec.control_mode, "metadata": dict(spec.metadata)},
-        "benchmark": {"name": benchmark, "revision": revision, "metadata": dict(metadata or {}), "write_video": write_video, "plan_sha256": content},
-    }
-    run_id = identity(config)
-    root = f"{out.rstrip('/')}/{run_id}"
-    write_manifest(spark, root, run_id, config)
-    left = pending_rows(whole, completed(spark, root))
-    size = cohort_size or max(4 * spark.sparkContext.defaultParallelism, 1000)
-    todo = f"{root}/_staging/pending"
-    split = cohorts(left, size, "episode_index")
-    split.repartition("cohort").write.partitionBy("cohort").mode("overwrite").parquet(todo)  # a cohort reads its own folder only
-    rows = spark.read.schema(split.schema).parquet(todo)
-    last = rows.agg(F.max("cohort")).first()[0]
-    if last is None:
+    with staged_below(spark, out) as staging:
+        whole = prepared(plan, f"{staging}/plan")
+        config = {
+            "schema_version": SCHEMA_VERSION,
+            "implementation": implementation,
+            "environment": dict(environment or {}),
+            "function": {"id": spec.function_id, "revision": spec.revision, "control_mode": spec.control_mode, "metadata": dict(spec.metadata)},
+            "benchmark": {"name": benchmark, "revision": revision, "metadata": dict(metadata or {}), "write_video": write_video, "plan_sha256": whole.content_hash},
+        }
+        run_id = identity(config)
+        root = f"{out.rstrip('/')}/{run_id}"
+        write_manifest(spark, root, run_id, config)
+        left = pending_rows(whole.rows, completed(spark, root)) if exists(spark, f"{root}/episodes") else whole.rows
+        seen, names = Observation(), [f.name for f in PLAN_SCHEMA]
+        left.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{staging}/pending")
+        n_left = seen.get["n"]
+        if not n_left:
+            return read_run(spark, root)
+        rows = spark.read.schema(left.schema).parquet(f"{staging}/pending")
+        parallel = spark.sparkContext.defaultParallelism
+        size = cohort_size or max(4 * parallel, 1000, math.ceil(n_left / COHORTS))
+        count = math.ceil(n_left / size)
+        if count > 1:  # a cohort reads its own folder only
+            split = cohorts(rows, size, "episode_index", n_rows=n_left)
+            split.repartition("cohort").write.partitionBy("cohort").parquet(f"{staging}/cohorts")
+            rows = spark.read.schema(split.schema).parquet(f"{staging}/cohorts")
+        kinds = StructType([*PLAN_SCHEMA.fields, *TRACE_SCHEMA.fields, *StructType.fromDDL(f"timing struct<{_fields(TIMING_DDL)}>").fields])
+        attempt, order = int(time.time() * 1000), ("task_key", "seed", "episode_index")
+        for number in range(count):
+            part = (rows.where(F.col("cohort") == number) if count > 1 else rows).select(names)
+            dealt = part.repartitionByRange(max(1, min(parallel, size)), *order).sortWithinPartitions(*order)
+            staged, timed = f"{staging}/cohort={number}", Observation()
+            done = execute(dealt, spec, batch)
+            done.observe(timed, F.count("timing").alias("n"), *unusable(kinds["timing"].dataType.names, "timing.")).write.parquet(staged)
+            traces, found = spark.read.schema(kinds).parquet(staged), timed.get
+            no_nan(found)
+            if layout == "key":
+                write_partitions(step_table(traces), f"{root}/steps")
+                write_partitions(episode_table(traces), f"{root}/episodes")
+            else:
+                append_buckets(step_table(traces), f"{root}/steps", attempt + number)
+                append_buckets(episode_table(traces), f"{root}/episodes", attempt + number)
+            if found["n"]:
+                traces.where("timing is not null").select("timing.*").write.mode("append").json(f"{root}/timings")
+            delete(spark, staged)
+            if checkpoint is not None:
+                checkpoint()
+        ledger.note(spark, root)  # after a failure, the next call does it
         return read_run(spark, root)
-    attempt = int(time.time() * 1000)
-    for number in range(last + 1):
-        part = rows.where(F.col("cohort") == number).select([f.name for f in PLAN_SCHEMA])
-        order = ("task_key", "seed", "episode_index")
-        dealt = part.repartitionByRange(max(1, min(spark.sparkContext.defaultParallelism, size)), *order).sortWithinPartitions(*order)
-        staged = f"{root}/_staging/cohort={number}"
-        execute(dealt, spec, batch).write.mode("overwrite").parquet(staged)
-        traces = spark.read.schema(StructType([*PLAN_SCHEMA.fields, *TRACE_SCHEMA.fields, *StructType.fromDDL(f"timing struct<{_fields(TIMING_DDL)}>").fields])).parquet(staged)
-        if layout == "key":
-            write_partitions(step_table(traces), f"{root}/steps")
-            write_partitions(episode_table(traces), f"{root}/episodes")
-        else:
-            append_buckets(step_table(traces), f"{root}/steps", attempt + number)
-            append_buckets(episode_table(traces), f"{root}/episodes", attempt + number)
-        append_timings(traces.where("timing is not null").select("timing.*"), f"{root}/timings")
-        if checkpoint is not None:
-            checkpoint()
-    return read_run(spark, root)
+
+
+@contextlib.contextmanager
+def staged_below(spark: SparkSession, out: str) -> Iterator[str]:
+    """A folder for what one call stages, deleted at its end."""
+    folder = f"{out.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        delete(spark, folder)
 
 
 def _fields(ddl: str) -> str:

@@ -8,16 +8,18 @@ is for plans whose episodes would be too many directories.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import EPISODE_SCHEMA, STEP_SCHEMA, TIMING_DDL
-from ..sources.files import exists, hadoop, read_text_file
+from ..sources.files import create_once, exists, read_text_file
+from . import ledger
 from .metrics import complete_keys, contiguous
 from .traces import cast_to
 
@@ -99,8 +101,15 @@ def read_run(spark: SparkSession, path: str) -> Run:
     return Run(path, run_id, read_table(spark, f"{path}/episodes", EPISODE_SCHEMA), read_table(spark, f"{path}/steps", STEP_SCHEMA))
 
 
-def completed(spark: SparkSession, path: str) -> DataFrame:
-    """(episode_key) of the episodes of a run that need no further attempt."""
+def completed(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(episode_key) of the episodes of a run that need no further attempt.
+
+    By the run's ledger, so that only step files that it doesn't know are read; with ``whole``, by a scan of all steps.
+    """
+    if not whole:
+        found = ledger.complete(spark, path, read_attempts if exists(spark, f"{path}/episodes/key_bucket=*") else read_table)
+        if found is not None:
+            return found
     run = read_run(spark, path)
     return complete_keys(run.episodes, run.steps)
 
@@ -111,34 +120,38 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_manifest(spark: SparkSession, root: str, run_id: str, config: Mapping[str, Any]) -> None:
-    """Create a run's manifest; the same content again changes nothing, other content is an error."""
+    """Create a run's manifest; the same content again changes nothing, other content is an error. Of two writers at once one creates it."""
     payload = {"run_id": run_id, "config": dict(config)}
     path = f"{root.rstrip('/')}/manifest.json"
-    for attempt in range(2):
-        text = read_text_file(spark, path)
-        if text is not None:
-            if json.loads(text) != json.loads(json.dumps(payload)):
-                raise RuntimeError(f"{path} belongs to a run with another configuration (conflict); write to another folder")
-            return
-        files, where = hadoop(spark, path)
-        part = hadoop(spark, f"{root.rstrip('/')}/.manifest.{run_id}.{spark.sparkContext.applicationId}.tmp")[1]
-        stream = files.create(part, True)
-        stream.write((json.dumps(payload, indent=2, sort_keys=True) + "\n").encode())
-        stream.close()
-        if not files.rename(part, where):  # another writer was first: compare with what it wrote
-            files.delete(part, False)
-            if attempt:
-                raise RuntimeError(f"can't write {path}")
+    text = json.dumps(payload, indent=2, sort_keys=True) + "\n"
+    if create_once(spark, path, text.encode()):
+        return
+    for pause in (0.0, 0.1, 0.5, 2.0):  # the other writer may not have come to its end
+        time.sleep(pause)
+        try:
+            found = json.loads(read_text_file(spark, path) or "")
+        except ValueError:
             continue
+        if found != json.loads(text):
+            raise RuntimeError(f"{path} belongs to a run with another configuration (conflict); write to another folder")
         return
+    raise RuntimeError(f"{path} was begun and never finished; delete it")
 
 
 def append_timings(timings: DataFrame, root: str) -> None:
     """Append timing rows as JSON lines; NaN is an error, no rows write nothing."""
-    seconds = [c for c, kind in timings.dtypes if kind == "double"]
-    found = timings.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.isnan(c)).alias(c) for c in seconds]).first()
-    bad = [c for c in seconds if found[c]]
-    if bad:
-        raise ValueError(f"timings hold NaN in {bad}")
+    found = timings.agg(F.count(F.lit(1)).alias("n"), *unusable(timings.columns)).first()
+    no_nan(found.asDict())
     if found["n"]:
         timings.write.mode("append").json(root)
+
+
+def unusable(columns: list[str], prefix: str = "") -> list[Column]:
+    """How many rows have NaN for the seconds of each kind."""
+    return [F.count_if(F.isnan(f"{prefix}{c}")).alias(f"nan_{c}") for c in columns if c.endswith("_seconds") or c.endswith("_per_second")]
+
+
+def no_nan(found: Mapping[str, int]) -> None:
+    bad = [name.removeprefix("nan_") for name, n in found.items() if name.startswith("nan_") and n]
+    if bad:
+        raise ValueError(f"timings hold NaN in {bad}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import canonical_json
+from ..functions.scalar import canonical_json, key_of
 from ..schemas import PLAN_SCHEMA, PLANNED, REQUIRED
 
 #: Plans up to this many rows are indexed by one window; larger ones by ranges.
@@ -30,28 +31,73 @@ def duplicates(plan: DataFrame, *keys: str) -> DataFrame:
 
 def validate(plan: DataFrame) -> None:
     """Raise what is wrong with a plan, each case with its own message."""
+    _has_columns(plan)
+    found = problems(plan).first()
+    _is_filled(found.asDict())
+    if found["n_keys"] != found["n_rows"]:
+        raise ValueError(DUPLICATE_KEYS)
+    if found["n_ids"] != found["n_rows"]:
+        raise ValueError(DUPLICATE_IDS)
+
+
+DUPLICATE_KEYS, DUPLICATE_IDS = "plan contains duplicate episode keys", "plan contains duplicate episode ids"
+
+
+def _has_columns(plan: DataFrame) -> None:
     missing = sorted(set(f.name for f in PLAN_SCHEMA) - set(plan.columns))
     if missing != ["episode_index"]:
         raise ValueError(f"plan is missing required columns: {missing!r}")
-    found = problems(plan).first()
+
+
+def _is_filled(found: dict) -> None:
     if found["n_rows"] == 0:
         raise ValueError("plan selection produced no episodes")
     for name in REQUIRED:
         if found[f"null_{name}"]:
             raise ValueError(f"plan contains null {name!r} values")
-    if found["n_keys"] != found["n_rows"]:
-        raise ValueError("plan contains duplicate episode keys")
-    if found["n_ids"] != found["n_rows"]:
-        raise ValueError("plan contains duplicate episode ids")
 
 
-def dense_index(rows: DataFrame, *order: str | Column, name: str = "episode_index", window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """``rows`` numbered from 0 in order.
+@dataclass(frozen=True)
+class Prepared:
+    """A valid plan with its dense index, how many rows it has, and its content hash."""
+
+    rows: DataFrame
+    n_rows: int
+    content_hash: str
+
+
+def prepared(plan: DataFrame, folder: str, rows_in_bucket: int = 1024) -> Prepared:
+    """canonical() and plan_hash() of a plan that is evaluated once: it is written below ``folder``, and nulls and rows are counted as they are written.
+
+    Equal keys fall into one bucket of the content hash, where they are found. If keys are those of the ids, as planners make them, ids are then
+    known to differ as well; else they are compared in a job of their own.
+    """
+    _has_columns(plan)
+    kinds = {f.name: f.dataType for f in PLAN_SCHEMA}
+    seen = Observation()
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED]
+    other = F.count_if(~F.col("episode_key").eqNullSafe(key_of(F.col("episode_id")))).alias("n_other_keys")
+    typed = plan.select([F.col(c).cast(kinds[c]).alias(c) for c in PLANNED])
+    typed.observe(seen, F.count(F.lit(1)).alias("n_rows"), *nulls, other).write.mode("overwrite").parquet(folder)
+    found = seen.get
+    _is_filled(found)
+    written = plan.sparkSession.read.schema(typed.schema).parquet(folder)
+    rows = dense_index(written, *ORDER, n_rows=found["n_rows"]).select([f.name for f in PLAN_SCHEMA])
+    root = _hash_tree(rows, found["n_rows"], rows_in_bucket)
+    if root["twice"]:
+        raise ValueError(DUPLICATE_KEYS)
+    if found["n_other_keys"] and not duplicates(written, "episode_id").isEmpty():
+        raise ValueError(DUPLICATE_IDS)
+    return Prepared(rows, found["n_rows"], root["d"])
+
+
+def dense_index(rows: DataFrame, *order: str | Column, name: str = "episode_index", window_rows: int = WINDOW_ROWS, n_rows: int | None = None) -> DataFrame:
+    """``rows`` numbered from 0 in order; they are counted unless ``n_rows`` tells how many there are.
 
     Up to ``window_rows`` rows one window does it; beyond, rows are dealt out by ranges of the order and sorted there, and each
     range starts where the ranges before it end, so no task sees all rows. The order must be total.
     """
-    if rows.count() <= window_rows:
+    if (rows.count() if n_rows is None else n_rows) <= window_rows:
         return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
     ranged = ranged.checkpoint()
@@ -93,25 +139,30 @@ def plan_hash(plan: DataFrame, rows_in_bucket: int = 1024) -> str:
     Buckets hold about ``rows_in_bucket`` digests, whatever the plan's size, and their own digests are hashed in the same way once more
     before the last step, so a billion rows meet in about a thousand digests.
     """
-    names = [f.name for f in PLAN_SCHEMA]
-    digests = plan.select(F.col("episode_key").alias("o"), row_digest(*names).alias("d"))
-    width = max(1, math.ceil(plan.count() / rows_in_bucket))
+    return _hash_tree(plan, plan.count(), rows_in_bucket)["d"]
+
+
+def _hash_tree(plan: DataFrame, n_rows: int, rows_in_bucket: int) -> Row:
+    """The root's digest ``d``, and how many rows have the key of another (``twice``)."""
+    digests = plan.select(F.col("episode_key").alias("o"), row_digest(*[f.name for f in PLAN_SCHEMA]).alias("d"), F.lit(0).alias("twice"))
+    width = max(1, math.ceil(n_rows / rows_in_bucket))
     for level in (width, max(1, math.ceil(width / rows_in_bucket))):
         digests = ordered_digests(digests, F.pmod(F.xxhash64("o", F.lit(level)), F.lit(level)).cast("string"))
-    return ordered_digests(digests, F.lit("")).first()["d"]
+    return ordered_digests(digests, F.lit("")).first()
 
 
 def ordered_digests(digests: DataFrame, group: Column) -> DataFrame:
-    """(o, d): for each group, the SHA-256 of its digests in order of ``o``."""
-    rows = digests.select(group.alias("g"), F.struct("o", "d").alias("x")).groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select(F.col("g").alias("o"), F.sha2(F.array_join(F.transform("xs", lambda x: x["d"]), "\n"), 256).alias("d"))
+    """(o, d, twice): for each group, the SHA-256 of its digests in order of ``o``, and how many repeat an ``o``."""
+    held = digests.select(group.alias("g"), F.struct("o", "d").alias("x"), "twice").groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.sum("twice").alias("below"))
+    repeated = F.size("xs") - F.size(F.array_distinct(F.transform("xs", lambda x: x["o"])))
+    return held.select(F.col("g").alias("o"), F.sha2(F.array_join(F.transform("xs", lambda x: x["d"]), "\n"), 256).alias("d"), (F.col("below") + repeated).alias("twice"))
 
 
-def cohorts(pending: DataFrame, size: int, *order: str, name: str = "cohort") -> DataFrame:
+def cohorts(pending: DataFrame, size: int, *order: str, name: str = "cohort", n_rows: int | None = None) -> DataFrame:
     """Pending rows split in order into cohorts of ``size``."""
     if size < 1:
         raise ValueError("cohort size must be positive")
-    return dense_index(pending, *order, name="_n").withColumn(name, F.floor(F.col("_n") / size).cast("long")).drop("_n")
+    return dense_index(pending, *order, name="_n", n_rows=n_rows).withColumn(name, F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 
 def dry_run(plan: DataFrame, **settings: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,14 +134,44 @@ def _scanned(spark: SparkSession, root: str, base: str, names: str, deep: bool)
     if not exists(spark, base):
         return spark.createDataFrame([], "path string, length long")
     scan = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", str(deep).lower())
-    return scan.load(base).select(relative(qualified(spark, root), _decoded("_metadata.file_path")).alias("path"), "length")
+    return scan.load(base).select(relative(qualified(spark, root), decoded("_metadata.file_path")).alias("path"), "length")
 
 
-def _decoded(path: str) -> Column:
+def decoded(path: str) -> Column:
     """A path as a scan's metadata has it, without escapes."""
     return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, where = hadoop(spark, path)
+    files.delete(where, True)
+
+
+def create_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file by the store's own conditional create; False if it was there. Of several writers exactly one creates it."""
+    where = parsed(qualified(spark, path))
+    if where.scheme == "file":  # Hadoop's local files only look before they create
+        os.makedirs(os.path.dirname(where.path), exist_ok=True)
+        try:
+            made = os.open(where.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
+        except FileExistsError:
+            return False
+        with os.fdopen(made, "wb") as file:
+            file.write(content)
+        return True
+    files, target = hadoop(spark, path)
+    try:
+        stream = files.createFile(target).recursive().overwrite(False).opt("fs.option.create.conditional.overwrite", True).build()
+        stream.write(content)
+        stream.close()
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    return True
+
+
 def read_contents(spark: SparkSession, root: str, keep: Callable[[Column], Column], names: str = "*") -> DataFrame:
     """(path, text) of the files below ``root`` whose relative path meets the condition that ``keep`` makes of it.
 
@@ -148,7 +180,7 @@ def read_contents(spark: SparkSession, root: str, keep: Callable[[Column], Colum
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, text string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
-    path = relative(qualified(spark, root), _decoded("_metadata.file_path"))
+    path = relative(qualified(spark, root), decoded("_metadata.file_path"))
     return files.where(keep(path)).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
