@@ -49,7 +49,7 @@ def note(spark: SparkSession, root: str, files: DataFrame | None = None) -> Data
     if len(unknown) > FILES:
         return None
     if unknown:
-        found = frame_checks(steps_of(spark, root, [r["path"] for r in unknown]), "path", "episode_key", "attempt")
+        found = frame_checks(steps_of(spark, root, [r["path"] for r in unknown]), "path", "episode_key", "attempt", deal=("episode_key",))
         spark.createDataFrame(unknown, "path string, length long").join(found, "path", "left").select([c.split()[0] for c in LEDGER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{root}/ledger")
     return files
 

@@ -23,17 +23,18 @@ def success_rate(episodes: DataFrame, *group_by: str) -> DataFrame:
     return counted.select(*group_by, rate.cast("double").alias("success_rate"))
 
 
-def frame_checks(steps: DataFrame, *keys: str, frame: str = "frame_index") -> DataFrame:
+def frame_checks(steps: DataFrame, *keys: str, frame: str = "frame_index", deal: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n_rows, lo, hi, n_distinct) of the frames of each key that aren't null.
 
-    Rows are dealt by the keys once. Each 32,768 consecutive frames of a key are one bitmap of four kilobytes, whose ones are added up by key, so
-    neither distinct frames nor a group is ever held in memory or dealt again.
+    Rows are dealt once, by the keys or those of them in ``deal``. Each 64 consecutive frames of a key are one word of bits, whose ones are added up by key: hash
+    aggregates of numbers alone, so neither distinct frames nor a group is ever held in memory or dealt again.
     """
-    number = steps.select(*keys, F.col(frame).cast("long").alias("_frame")).where("_frame is not null")
-    parts = number.repartition(*keys).groupBy(*keys, F.bitmap_bucket_number("_frame").alias("_part")).agg(
-        F.count("_frame").alias("n_rows"), F.min("_frame").alias("lo"), F.max("_frame").alias("hi"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_frame"))).alias("n_distinct")
+    number = steps.select(*keys, F.col(frame).cast("long").alias("_frame")).where("_frame is not null").repartition(*(deal or keys))
+    bit = F.expr("shiftleft(1L, cast(pmod(_frame, 64) as int))")
+    words = number.groupBy(*keys, F.expr("(_frame - pmod(_frame, 64)) div 64").alias("_word")).agg(
+        F.count("_frame").alias("n_rows"), F.min("_frame").alias("lo"), F.max("_frame").alias("hi"), F.bit_count(F.bit_or(bit)).cast("long").alias("n_distinct")
     )
-    return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_distinct").alias("n_distinct"))
+    return words.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_distinct").alias("n_distinct"))
 
 
 def gapless(first: int = 0) -> Column:
