@@ -14,14 +14,16 @@ def test_readers_are_pinned(spark, tmp_path):
     spark.createDataFrame([(0, ["t"], 3)], "episode_index long, tasks array<string>, length long").write.parquet(f"{root}/meta/episodes/a")
     spark.createDataFrame([(0,)], "task_index long").write.parquet(f"{root}/meta/tasks.parquet")
     (root / "REVISION").write_text("r1\n")
-    source = D.RecordedSource(str(root), "r1")
+    source = D.RecordedSource(str(root), "r1", frames="data/*/*.parquet", episodes="meta/episodes/*/*.parquet")
     assert D.frames(spark, source).columns == ["frame_index"] and D.frames(spark, source, include_stats=True).columns == ["frame_index", "stats/x"]
     assert D.episodes(spark, source).select("episode_index", "tasks", "length").limit(5).count() == 1
-    assert D.tasks(spark, str(root)).columns == ["task_index"]
+    assert D.tasks(spark, str(root), "meta/tasks.parquet").columns == D.tasks(spark, source, "meta/*.parquet").columns == ["task_index"]
+    with pytest.raises(ValueError, match="which files hold its tasks"):
+        D.tasks(spark, source)
     with pytest.raises(ValueError, match="conflicts"):
         D.frames(spark, source, revision="r2")
     with pytest.raises(RuntimeError, match="is at revision"):
-        D.frames(spark, D.RecordedSource(str(root), "r2"))
+        D.frames(spark, D.RecordedSource(str(root), "r2", frames="data/*/*.parquet"))
     with pytest.raises(ValueError, match="org/name"):
         D.frames(spark, "/some/path", revision="r1")
     assert D.RecordedSource("org/name", "r", "/sub/").path() == "org/name/sub"
