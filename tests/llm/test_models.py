@@ -111,6 +111,60 @@ def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+def slow_boosting(x, y, trees, depth, rate, bins, ridge, least):
+    """The same trees by loops over rows, features and limits; margins of the rows that they were fitted on."""
+    edges = [[np.quantile(x[:, f], k / bins) for k in range(1, bins)] for f in range(x.shape[1])]
+    binned = [[sum(e < v for e in edges[f]) for f, v in enumerate(row)] for row in x]
+    margin = [np.log(y.mean() / (1 - y.mean()))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        groups = [list(range(len(y)))]
+        for _ in range(depth):
+            split = []
+            for rows in groups:
+                g, h = sum(y[i] - p[i] for i in rows), sum(p[i] * (1 - p[i]) for i in rows)
+                best = (1e-9, None)
+                for f in range(x.shape[1]):
+                    for b in range(bins - 1):
+                        left = [i for i in rows if binned[i][f] <= b]
+                        gl, hl = sum(y[i] - p[i] for i in left), sum(p[i] * (1 - p[i]) for i in left)
+                        if hl >= least and h - hl >= least:
+                            gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (f, b))
+                f, b = best[1] or (0, bins)
+                split += [[i for i in rows if binned[i][f] <= b], [i for i in rows if binned[i][f] > b]]
+            groups = split
+        for rows in groups:
+            value = rate * sum(y[i] - p[i] for i in rows) / (sum(p[i] * (1 - p[i]) for i in rows) + ridge)
+            for i in rows:
+                margin[i] += value
+    return np.array(margin)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_boosting_is_that_of_a_slow_form(seed):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(90, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * draw.normal(size=90) > 0.3).astype(np.float64)
+    how = {"trees": 5, "depth": 2, "rate": 0.3, "bins": 7, "ridge": 1.0, "least": 2.0}
+    assert np.allclose(quality.fit(x, y, **how).scores(x), 1 / (1 + np.exp(-slow_boosting(x, y, **how))), atol=1e-9)
+
+
+def test_very_long_texts_are_judged_whole():
+    parts = [prose(70, 100_000, 900), prose(71, 100_000, 900).upper()]
+    long, both = "\n".join(parts), quality.statistics(pa.array(["\n".join(parts), *parts]))
+    names = dict(zip(quality.FEATURES, both.T, strict=True))
+    n = [len(p.encode()) for p in parts]
+    assert np.isclose(names["lower"][0] * len(long), names["lower"][1] * n[0] + names["lower"][2] * n[1])
+    assert np.isclose(names["upper"][0] * len(long), names["upper"][2] * n[1])
+    assert np.isclose(names["log_words"][0], np.log1p(200_000)) and np.isclose(names["log_lines"][0], np.log1p(2))
+    own = next(iter(toxicity.feature_sets(pa.array([long]))))
+    rare = np.setdiff1d(own, next(iter(toxicity.feature_sets(pa.array([parts[0]])))))  # what only the end of the text has
+    model = toxicity.Linear(rare[:50], np.ones(50), -49.5)
+    assert model.scores(pa.array([long, parts[0]])).round(3).tolist() == [0.622, 0.0]
+
+
 def test_held_out_rows_are_never_learned_from(spark):
     ids = list(range(200))
     frame = docs(spark, [(i, f"t{i}") for i in ids])
@@ -186,6 +240,23 @@ def test_pipeline_on_messy_rows(spark):
         assert stage(spark, rows.where("false"), DATA).count() == 0
 
 
+def test_the_whole_pipeline_of_messy_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = texts() + [(400 + k, prose(500 + k, 40, 3000)) for k in range(60)]
+    leak = prose(900, 30, 9000)
+    rows += [(500, f"{prose(901, 20)} {leak} {prose(902, 20)}"), (501, f"{leak.upper()}"), (502, None), (None, "")]
+    rows += [(600 + k, f"{prose(700 + k, 25, 3000)} vile{k % 3} filth muck vile{k % 3} filth muck") for k in range(40)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, row string"
+    spark.createDataFrame([(i, t, "en", None, len(t or ""), 0.5, "r") for i, t in rows], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(600 <= i < 700)) for i, _ in rows if i is not None and i >= 400] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (None, "x y"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = P.run(spark, str(tmp_path)).collect()
+    kept = collections.Counter(r["doc_id"] for r in found)
+    assert set(kept) >= {1, 5, 6, 7, 14, 502, None, *range(400, 460)} and not set(kept) & {2, 3, 4, 9, 500, 501, *range(600, 640)}
+    assert kept[None] == 3 and all(r["same"] for r in found if r["n_ids"] is not None) and {r["doc_id"] for r in found if r["n_ids"] is None} == {5, 502, None}
+
+
 def features_of(text):
     """(n-gram, level) by counting."""
     data = text.encode().lower()  # A-Z only

@@ -100,6 +100,13 @@ def test_leaks_are_found_in_any_order(spark):
     assert decontaminate.tiled_pairs(docs(spark, rows), items(spark, [])).count() == 0
 
 
+def test_leaks_in_very_long_texts(spark):
+    item = prose(35, 40, 10_000).split()
+    long = f"{prose(36, 60_000, 50_000)} {' '.join(item[20:])} {prose(37, 60_000, 50_000)} {' '.join(item[:20])} {prose(38, 60_000, 50_000)}"
+    found = decontaminate.tiled_pairs(docs(spark, [(1, long), (2, prose(39, 100_000, 50_000))]), items(spark, [(1, " ".join(item))]))
+    assert [(r["doc_id"], r["item_id"], r["n_covered"], r["n_tiles"]) for r in found.collect()] == [(1, 1, 40, 2)]
+
+
 def slow_tiles(item, doc, shortest):
     used_i, used_d, covered = set(), set(), 0
     while True:

@@ -128,7 +128,7 @@ def tiled_pairs(
 
     One row per pair: ``doc_id``, ``item_id``, ``n_item`` (its tokens), ``n_covered``, ``n_tiles``, ``tiles`` (place in item, place
     in document, length). An item shorter than ``shortest`` counts if it occurs whole. Null ids, null texts and
-    texts without tokens are in no pair. Rows that repeat an id count once a pair, with the most covered. Empty tables give no rows.
+    texts without tokens are in no pair. Rows that repeat an id count once a pair, with the most covered. A text of any length is whole in one row and one task. Empty tables give no rows.
     """
     seeds = seeds_of(items, item_col, item_text_col, shortest).checkpoint()
     lead = F.shiftrightunsigned("seed", 64 - SEED_BITS)

@@ -150,7 +150,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     One row per input row: ``doc_id`` (null stays null), ``n_words``, ``log_score`` (0 without words),
     ``mean_log_score`` (null without words). A null text has no words. Repeated rows are counted as often as
-    they occur. An empty table gives no rows. Other columns are ignored, whatever their names.
+    they occur. A text of any length is whole in one row and one task.
+    An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     found = count_and_score(docs, id_col, text_col, order, alpha, min_count).checkpoint()
     total = found.agg(F.sum("n_words")).first()[0] or 1

@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` (whether that is the document itself). Words are lower-cased (A-Z); fewer than ``k`` words are one
     shingle. A null, empty or blank text has no shingles, is linked with nothing and kept. Rows without an
     id are left out. Rows that repeat an id are one document; if their texts differ, the one with the largest
-    fingerprint counts. An empty table gives no rows. Other columns are ignored.
+    fingerprint counts. A text of any length, and its set, is whole in one row and one task. An empty table gives no rows. Other columns are ignored.
     """
     rows = rows_in_band(percent)
     signed = signatures(docs, id_col, text_col, k, rows)

@@ -155,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
     One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score reaches ``threshold``). Null and empty texts are
     scored as texts without bytes. A null id is not held out. Without usable labels every score is the prior 0.5. Repeated rows are scored each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. A text of any length is whole in one row and one task.
     """
     forest = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, bound, id_col, text_col))
 

@@ -195,7 +195,8 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
 def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode each whole text in one go: ``doc_id``, ``n_ids``, ``ids_sha256`` (of the ids as little-endian 32-bit values, in
-    lowercase hex) and ``same`` (whether decoding gives the text back); with ``keep_ids`` also ``ids``. A null text has nulls in all but ``doc_id``."""
+    lowercase hex) and ``same`` (whether decoding gives the text back); with ``keep_ids`` also ``ids``. A null text has nulls in all but ``doc_id``; an empty one has no ids. Row for row: repeated rows
+    give repeated results, an empty table gives none, other columns are ignored. A text of any length is whole in one row and one task."""
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

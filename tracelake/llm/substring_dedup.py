@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay, joined by
     one space; with ``layout``, a document that loses nothing keeps its text as it is), ``spans`` (begin and end, in words, of what went), ``row`` (the other columns). A null or empty
     text has no words and an empty ``kept``. A row without an id loses nothing and owns nothing. Rows that repeat an id
-    are separate documents, neither of them smaller. An empty table gives no rows.
+    are separate documents, neither of them smaller. A text of any length is whole in one row and one task. An empty table gives no rows.
     """
     parts, shards = sharded(docs, id_col, text_col)
     counts = "doc_id long, n_words long, n_removed long, kept string"

@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     on the driver; its pieces (tens of thousands, whatever the input) are broadcast.
 
     One row per input row: ``doc_id`` (null stays null), ``n_words``, ``n_tokens``. Null, empty and blank texts have 0 of both. Rows that repeat an id
-    are counted each. An empty table gives no rows. Other columns are ignored.
+    are counted each. A text of any length is whole in one row and one task. An empty table gives no rows. Other columns are ignored.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 

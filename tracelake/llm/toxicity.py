@@ -223,7 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score reaches ``threshold``). Null and empty texts have the score
     of a text without n-grams. A null id is not held out. Without labels of both kinds every score is the smoothed share of label 1. Repeated
-    rows are scored each; an empty table gives no rows; other columns are ignored.
+    rows are scored each; an empty table gives no rows; other columns are ignored. A text of any length is whole in one row and one task. N-grams are of bytes of UTF-8, so outside
+    ASCII they may cut characters; features that tell labels equally well are chosen in order of their hashes.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, bound, id_col, text_col))
 
