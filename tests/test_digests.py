@@ -1,9 +1,12 @@
 """Digest trees and their differences."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import digests as D
+from tracelake.operators.signature import signature
 
 
 def rows(spark, n):
@@ -32,6 +35,17 @@ def test_changed_rows_are_found_by_few_digests(spark, tmp_path, monkeypatch, nam
     assert D.read_level(spark, a, 3).agg(F.sum("n")).first()[0] == n == D.read_level(spark, a, 0).first()["n"]
 
 
+def test_signatures_need_no_buckets(spark):
+    frame = rows(spark, 3000).withColumn("hot", F.lit(1))
+    whole = signature(frame, "k", rows_in_bucket=100).first()[0]
+    assert whole == signature(frame.repartition(7), "k", rows_in_bucket=100).first()[0] and len(whole) == 64
+    hot = signature(frame, "hot", rows_in_bucket=100)
+    assert hot.first()[0] == signature(frame.repartition(3), "hot", rows_in_bucket=100).first()[0] != whole
+    assert whole != signature(change(rows(spark, 3000)).withColumn("hot", F.lit(1)), "k", rows_in_bucket=100).first()[0]
+    assert signature(frame.where("false"), "k").first()[0] == hashlib.sha256(b"").hexdigest()
+    assert signature(frame, "k", columns=["v"]).first()[0] != signature(frame, "k", columns=["t"]).first()[0]
+
+
 def test_equal_tables_take_two_digests(spark, tmp_path):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     D.write_tree(rows(spark, 500), "k", a)
