@@ -5,6 +5,7 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -107,6 +108,40 @@ def test_leaks_in_very_long_texts(spark):
     assert [(r["doc_id"], r["item_id"], r["n_covered"], r["n_tiles"]) for r in found.collect()] == [(1, 1, 40, 2)]
 
 
+def phrases(draw, count):
+    """Texts of phrases, some of which are in most texts."""
+    hot, rare = [prose(700 + n, 7, 10_000) for n in range(4)], [prose(800 + n, 9, 10_000) for n in range(40)]
+    return [" ".join(draw.choice(hot if draw.random() < 0.6 else rare) for _ in range(draw.randint(1, 6))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("salt_rows", (1, 50_000))
+def test_pairs_are_those_of_tiling_every_pair(spark, monkeypatch, salt_rows):
+    monkeypatch.setattr(decontaminate, "SALT_ROWS", salt_rows)
+    draw = random.Random(5)
+    texts_, asked = phrases(draw, 300), [*phrases(draw, 40), prose(700, 7, 10_000), prose(701, 3, 10_000)]
+    found = decontaminate.tiled_pairs(docs(spark, list(enumerate(texts_))), items(spark, [*enumerate(asked), (0, asked[0])]))
+    got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_covered"]) for r in found.collect()}
+    hashes = lambda texts: [decontaminate.tokens(pa.array([t]))[0] for t in texts]
+    want = {}
+    for i, item in enumerate(hashes(asked)):
+        for d, doc in enumerate(hashes(texts_)):
+            covered = sum(t[2] for t in decontaminate.tiles(item, doc, min(5, len(item))))
+            if 100 * covered >= 80 * len(item):
+                want[(d, i)] = (len(item), covered)
+    assert got == want and len(want) > 300
+
+
+def test_hot_phrases_do_not_name_items(spark):
+    hot, own = prose(900, 20, 10_000), [prose(910 + n, 20, 10_000) for n in range(30)]
+    texts_ = [(n, f"{hot} {own[n] if n < 30 else prose(950 + n, 20, 10_000)}") for n in range(60)]
+    asked = items(spark, [(n, f"{hot} {own[n]}") for n in range(30)])
+    seeds = decontaminate.seeds_of(asked, "item_id", "text", 5)
+    counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs"))
+    kept = decontaminate.telling_seeds(seeds.join(counts, "seed"), 80)
+    assert kept.join(counts, "seed").where("n_docs > 1").count() == 0 and kept.select("item").distinct().count() == 30
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.tiled_pairs(docs(spark, texts_), asked).collect()} == {(n, n) for n in range(30)}
+
+
 def slow_tiles(item, doc, shortest):
     used_i, used_d, covered = set(), set(), 0
     while True:

@@ -15,6 +15,9 @@ from .textarrays import LOWER, WHITE, inside, ngram_hashes, slices, text_bytes,
 #: Size of the bit table that holds the seeds' leading bits: half a megabyte, however many seeds there are.
 SEED_BITS = 22
 
+#: Documents of a seed that meet its items in one task at least, and a bound on the number of seeds that are dealt over several tasks.
+SALT_ROWS, MAX_HOT = 50_000, 1000
+
 #: Letters, digits and everything outside ASCII make up tokens; the rest is a gap like a space.
 _GAPS = WHITE.copy()
 _GAPS[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -109,6 +112,47 @@ def seeds_of(items: DataFrame, id_col: str, text_col: str, shortest: int) -> Dat
     return texts.mapInArrow(cut, "item long, n long, k int, place int, seed long")
 
 
+def _covered(present: np.ndarray, k: int) -> int:
+    """How many tokens lie in the runs of ``k`` tokens that are present."""
+    edges = np.zeros(len(present) + k, dtype=np.int64)
+    edges[: len(present)] += present
+    edges[k:] -= present
+    return int((np.cumsum(edges) > 0).sum())
+
+
+def telling_seeds(counted: DataFrame, percent: int) -> DataFrame:
+    """(item, k, seed) of so many seeds of each item that a document without any of them can't have ``percent`` of the item's tokens in tiles.
+
+    ``counted`` is what seeds_of() gives, with how many documents have each seed (``n_docs``, null for none). Tiles consist of seeds that both texts have. The seeds left out, commonest first, cover less
+    than ``percent`` of the tokens together, so a document that has only those is no match. A phrase of many items and many documents is thus left out wherever
+    an item has enough else to be told by. Only seeds that some document has are returned.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (row,) = batch.slice(n, 1).to_pylist()
+                places: dict[int, list[int]] = {}
+                for held in row["held"]:  # commonest first
+                    places.setdefault(held["seed"], []).append(held["place"])
+                number, covered, n_covered, kept = {h["seed"]: -h["rarity"] for h in row["held"]}, bytearray(row["n"]), 0, []
+                for seed, at in places.items():
+                    new = {t for p in at for t in range(p, p + row["k"]) if not covered[t]}
+                    if 100 * (n_covered + len(new)) >= percent * row["n"]:
+                        kept.append(seed)
+                        continue
+                    n_covered += len(new)
+                    for t in new:
+                        covered[t] = 1
+                kept = [seed for seed in kept if number[seed]]
+                if kept:
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([row["item"]] * len(kept), pa.int64()), "k": pa.array([row["k"]] * len(kept), pa.int32()), "seed": pa.array(kept, pa.int64())})
+
+    rarity = (-F.coalesce("n_docs", F.lit(0))).alias("rarity")
+    items = counted.groupBy("item", "n", "k").agg(F.array_sort(F.collect_list(F.struct(rarity, "seed", "place"))).alias("held"))
+    return items.mapInArrow(choose, "item long, k int, seed long").distinct()
+
+
 def tiled_pairs(
     docs: DataFrame,
     items: DataFrame,
@@ -123,7 +167,7 @@ def tiled_pairs(
 
     Tokens are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Documents without any seed
     (run of ``shortest`` tokens) of the benchmark are passed over in the scan, by a bit table of fixed size; the seeds of the rest
-    join the items' seeds, and pairs whose seeds could cover enough of the item are tiled: matches are taken longest first and
+    join the rarer seeds of the items (see :func:`telling_seeds`), hot ones dealt over several tasks, and pairs whose seeds could cover enough of the item are tiled: matches are taken longest first and
     never overlap, so a passage whose parts were put in another order still counts in full.
 
     One row per pair: ``doc_id``, ``item_id``, ``n_item`` (its tokens), ``n_covered``, ``n_tiles``, ``tiles`` (place in item, place
@@ -163,22 +207,25 @@ def tiled_pairs(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("body")).where("doc is not null and body is not null")
     near = texts.mapInArrow(find, "doc long, body string, seeds array<long>").checkpoint()
 
-    hits = near.select("doc", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed").groupBy("doc", "item", "n", "k").agg(F.collect_set("place").alias("places"))
-    covered = F.aggregate(
-        F.array_sort("places"),
-        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
-        lambda s, p: F.struct((s["sum"] + p + F.col("k") - F.greatest(s["end"], p)).alias("sum"), (p + F.col("k")).alias("end")),
-        lambda s: s["sum"],
-    )
-    pairs = hits.where(100 * covered >= percent * F.col("n")).select("doc", "item", "k")
+    found = near.select("doc", F.explode("seeds").alias("seed"))
+    counts = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs")).join(seeds.select("seed").distinct(), "seed").checkpoint()
+    telling = telling_seeds(seeds.distinct().join(counts, "seed", "left"), percent)
+    total = counts.agg(F.sum("n_docs")).first()[0] or 0
+    share = max(SALT_ROWS, total // MAX_HOT)
+    salts = counts.where(F.col("n_docs") > share).select("seed", F.ceil(F.col("n_docs") / share).cast("int").alias("salts")).checkpoint()  # fewer than MAX_HOT rows
+    own, all_ = F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    salted = lambda rows, salt: rows.join(F.broadcast(salts), "seed", "left").withColumn("salt", salt).drop("salts")
+    pairs = salted(found, own).join(salted(telling, all_), ["seed", "salt"]).select("doc", "item", "k").distinct()
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                item, doc = tokens(one["item_body"])[0], tokens(one["body"])[0]
-                found = tiles(item, doc, one["k"][0].as_py())
+                item, doc, k = tokens(one["item_body"])[0], tokens(one["body"])[0], one["k"][0].as_py()
+                if k != min(shortest, len(item)) or 100 * _covered(np.isin(ngram_hashes(item, k), ngram_hashes(doc, k)), k) < percent * len(item):
+                    continue
+                found = tiles(item, doc, k)
                 rows.append({"doc_id": one["doc"][0].as_py(), "item_id": one["item"][0].as_py(), "n_item": len(item), "n_covered": sum(t[2] for t in found), "n_tiles": len(found), "tiles": [dict(zip(("item_at", "doc_at", "length"), t, strict=True)) for t in found]})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
