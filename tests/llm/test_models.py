@@ -59,9 +59,35 @@ def test_every_query_is_filled_up(spark):
 
 def test_hadamard_keeps_lengths_and_cells_are_the_nearest_axes():
     x = np.random.default_rng(2).normal(size=(20, 6))
-    for t, turned in enumerate(ann.rotations(x, 8)):
+    for turned in ann.rotations(x, 8, 5):
         assert np.allclose((turned**2).sum(axis=1), (x**2).sum(axis=1))
-        assert np.array_equal(ann.cells(x, 8)[:, t], ann.probes(x, 8, 3)[:, t, 0])
+    for layout in ann.LAYOUTS:
+        cells, all_ = ann.cells(x, 8, layout), ann.probes(x, 8, layout, layout.cells_in_table(8))
+        assert np.array_equal(cells, ann.probes(x, 8, layout, 3)[:, :, 0]) and np.array_equal(all_[:, :, :9], ann.probes(x, 8, layout, 9))
+        assert all(len(np.unique(row)) == layout.tables * layout.cells_in_table(8) for row in all_.reshape(len(x), -1))
+        place = [min(int(np.flatnonzero(all_[n, t] == cells[(n + 1) % 20, t])[0]) for t in range(layout.tables)) + 1 for n in range(20)]
+        assert ann.probes_to(x, np.roll(x, -1, axis=0), 8, layout).tolist() == place
+
+
+def test_few_pairs_of_clustered_vectors_are_compared(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(150, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.2 * draw.normal(size=(6000, 32))
+    table = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    chosen, keep = [], ann._chosen
+    monkeypatch.setattr(ann, "SEND", 2)  # as in a table a hundred times as large, where comparisons weigh more
+    monkeypatch.setattr(ann, "_chosen", lambda *a: chosen.append(keep(*a)) or chosen[-1])
+    found = ann.nearest(table, F.col("vec_id") % 20 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    x = x.astype(np.float32).astype(float)
+    hits, ((layout, count),) = [], chosen
+    for q in range(0, 6000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:20].tolist()) & found[q]) / 20)
+    long = np.concatenate([x, np.sqrt(np.maximum(0, (x**2).sum(axis=1).max() - (x**2).sum(axis=1)))[:, None]], axis=1)
+    home, visited = ann.cells(long, 64, layout), ann.probes(x[::20], 64, layout, count)
+    share = np.mean([np.any([np.isin(home[:, t], v[t]) for t in range(layout.tables)], axis=0).mean() for v in visited])
+    assert np.mean(hits) >= 0.9 and share < 0.2, (np.mean(hits), share, layout, count)
 
 
 def test_recall_of_the_query(spark):

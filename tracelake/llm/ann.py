@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,26 @@ from pyspark.sql import functions as F
 
 from .textarrays import mix
 
-#: Tables; queries whose exact answers set the number of probes; vectors or queries in a block; share of the answers that the probes must reach.
-TABLES, CALIBRATORS, BLOCK, TARGET = 16, 200, 1024, 0.96
+#: Queries whose exact answers set the layout and the number of probes; vectors or queries in a block; share of the answers that the probes must reach.
+CALIBRATORS, BLOCK, TARGET = 200, 1024, 0.96
+#: What a layout's cost is estimated from: vectors drawn by hash, calibrators; comparisons that take as long as sending a vector.
+SAMPLE, ASKED, SEND = 4096, 40, 200
+#: Cells with several blocks whose table is sent to all tasks at most.
+BROADCAST = 100_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Tables, and how many axes, each of a rotation of its own, name a cell of a table."""
+
+    axes: int
+    tables: int
+
+    def cells_in_table(self, size: int) -> int:
+        return (2 * size) ** self.axes
+
+
+LAYOUTS = tuple(Layout(axes, tables) for axes in (1, 2) for tables in (2, 4, 8))
 
 
 def _signs(count: int, size: int) -> np.ndarray:
@@ -32,41 +51,65 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(size)
 
 
-def rotations(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Of each table, the pseudo-rotated rows: padded to ``size``, three times random signs and a Hadamard transform."""
-    signs = _signs(3 * TABLES, size)
+def rotations(x: np.ndarray, size: int, count: int) -> Iterator[np.ndarray]:
+    """The rows, padded to ``size``, by each of ``count`` pseudo-rotations: three times random signs and a Hadamard transform."""
+    signs = _signs(3 * count, size)
     padded = np.zeros((len(x), size))
     padded[:, : x.shape[1]] = x
-    for t in range(TABLES):
+    for r in range(count):
         turned = padded
         for k in range(3):
-            turned = hadamard(turned * signs[3 * t + k])
+            turned = hadamard(turned * signs[3 * r + k])
         yield turned
 
 
-def cells(x: np.ndarray, size: int) -> np.ndarray:
-    """(rows, TABLES): the nearest signed axis in each table, numbered across tables."""
-    out = []
-    for t, turned in enumerate(rotations(x, size)):
-        axis = np.argmax(np.abs(turned), axis=1)
-        out.append(2 * size * t + 2 * axis + (turned[np.arange(len(x)), axis] < 0))
-    return np.stack(out, axis=1)
+def signed(x: np.ndarray, size: int, layout: Layout) -> np.ndarray:
+    """(tables, axes, rows, 2 * size): how near each row is to each signed axis of each rotation."""
+    both = [np.stack([turned, -turned], axis=2).reshape(len(x), 2 * size) for turned in rotations(x, size, layout.tables * layout.axes)]
+    return np.stack(both).reshape(layout.tables, layout.axes, len(x), 2 * size)
+
+
+def cells(x: np.ndarray, size: int, layout: Layout) -> np.ndarray:
+    """(rows, tables): the cell of the nearest signed axes in each table, numbered across tables."""
+    near = signed(x, size, layout).argmax(axis=3)
+    number = np.repeat(np.arange(layout.tables)[:, None], len(x), axis=1)
+    for k in range(layout.axes):
+        number = number * (2 * size) + near[:, k]
+    return number.T
+
+
+def probes(x: np.ndarray, size: int, layout: Layout, count: int) -> np.ndarray:
+    """(rows, tables, count): the nearest cells of each table, nearest first, numbered like cells(): those with the largest sums over their axes."""
+    most, total = min(count, 2 * size), layout.cells_in_table(size)
+    near = signed(x, size, layout)
+    number, value = np.zeros((layout.tables, len(x), 1), dtype=np.int64), np.zeros((layout.tables, len(x), 1))
+    for k in range(layout.axes):  # the ``count`` best pairs are among the ``count`` best of either axis
+        axis = np.argsort(-near[:, k], axis=2, kind="stable")[:, :, :most]
+        number = (number[..., None] * (2 * size) + axis[:, :, None, :]).reshape(layout.tables, len(x), -1)
+        value = (value[..., None] + np.take_along_axis(near[:, k], axis, axis=2)[:, :, None, :]).reshape(layout.tables, len(x), -1)
+    best_ = np.argsort(-value, axis=2, kind="stable")[:, :, :count]
+    out = np.take_along_axis(number, best_, axis=2) + (total * np.arange(layout.tables))[:, None, None]
+    return out.transpose(1, 0, 2)
 
 
-def probes(x: np.ndarray, size: int, count: int) -> np.ndarray:
-    """(rows, TABLES, count): the nearest signed axes of each table, nearest first, numbered like cells()."""
-    out = []
-    for t, turned in enumerate(rotations(x, size)):
-        both = np.stack([turned, -turned], axis=2).reshape(len(x), 2 * size)
-        out.append(2 * size * t + np.argsort(-both, axis=1, kind="stable")[:, :count])
-    return np.stack(out, axis=1)
+def probes_to(asked: np.ndarray, answers: np.ndarray, size: int, layout: Layout) -> np.ndarray:
+    """For each pair of rows, after how many probes a table of the query's nearest cells the answer's cell is met."""
+    near, home = signed(asked, size, layout), signed(answers, size, layout).argmax(axis=3)
+    row = np.arange(len(asked))
+    least = sum(near[:, k][np.arange(layout.tables)[:, None], row[None, :], home[:, k]] for k in range(layout.axes)) - 1e-9
+    if layout.axes == 1:
+        return (near[:, 0] >= least[:, :, None]).sum(axis=2).min(axis=0)
+    second = np.sort(near[:, 1], axis=2)
+    counts = [[2 * size * 2 * size - np.searchsorted(second[t, n], least[t, n] - near[t, 0, n]).sum() for n in row] for t in range(layout.tables)]
+    return np.min(np.array(counts).reshape(layout.tables, len(row)), axis=0)
 
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str, dimension: int | None) -> tuple[DataFrame, int]:
     """(id, v) with usable vectors of one dimension, one for each id, and that dimension (unless given, the commonest; the larger of equals)."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    short = "float" in table.select(F.col(f"`{vector_col}`")).dtypes[0][1]  # floats are sent as they are, and compared as doubles
+    usable = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>" if short else "array<double>").alias("v"))
     usable = usable.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0.0))
     if dimension is None:
         most = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -133,16 +176,16 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, dimension: int | None = None) -> DataFrame:
     """The ``k`` nearest rows, by largest inner product, of each row for which ``is_query`` holds, among all rows but itself.
 
-    Each of TABLES tables turns the vectors by its own pseudo-rotation (three rounds of random signs and fast
-    Hadamard transform) and puts each into the cell of its nearest signed axis. A query visits, in each table, the cells of
-    its nearest axes; what it meets there is compared exactly. How many cells is set by measurement: for CALIBRATORS queries drawn
-    by hash the exact answers are computed, and the fewest probes are taken that find TARGET of them. If vectors differ in length,
+    Each table turns the vectors by pseudo-rotations of its own (three rounds of random signs and fast
+    Hadamard transform), one or two, and puts each into the cell of its nearest signed axes. A query visits, in each table, the
+    nearest cells; what it meets there is compared exactly. How many cells is set by measurement: for CALIBRATORS queries drawn
+    by hash the exact answers are computed, and the fewest probes are taken that find TARGET of them. The layout is the one of LAYOUTS that then costs
+    least: comparisons, counted with a sample of vectors, and vectors and queries sent. If vectors differ in length,
     they get one more coordinate that makes them equally long, which leaves inner products with queries in the same order.
 
-    A query that meets fewer than ``k`` vectors then visits all cells of one table, that is, every vector once.
+    A query that meets fewer than ``k`` vectors then visits all of one table, that is, every vector once.
 
-    Cells are cut into blocks of about BLOCK vectors and BLOCK queries, by the sizes of the cells (of which there are a fixed
-    number), so a cell that holds a third of all rows is many tasks. Every row is indexed; only the best ``k`` of a query in
+    Cells are cut into blocks of about BLOCK vectors and BLOCK queries, by the sizes of the cells, so a cell that holds a third of all rows is many tasks. Every row is indexed; only the best ``k`` of a query in
     a block leave it.
 
     Per query, nearest first: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the inner product in double precision); ties go to the smaller id;
@@ -155,7 +198,7 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     asked = table.where(is_query).select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
     vectors = all_.checkpoint()
     queries = vectors.join(asked, "id", "left_semi").checkpoint().select(F.col("id").alias("id"), F.col("v").alias("v"))
-    square = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    square = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     low, high, count = vectors.agg(F.min(square), F.max(square), F.count("*")).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -167,7 +210,8 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     chosen = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATORS).collect()
     sample = np.array([x["id"] for x in chosen]), np.array([x["v"] for x in chosen], dtype=np.float64).reshape(-1, dimension)
-    n_probes = _probes_needed(sample, vectors, k, dimension, size, stored)
+    n_queries = queries.count()
+    layout, n_probes = _chosen(sample, vectors, k, dimension, size, stored, n_queries, count)
 
     def dealt(find):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,33 +220,36 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                     part = batch.slice(at, 2048)
                     found = find(_matrix(part["v"], dimension)).reshape(len(part), -1)
                     row = np.repeat(np.arange(len(part)), found.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().astype(np.int32)), part["id"].take(pa.array(row))], names=["cell", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().astype(np.int64)), part["id"].take(pa.array(row))], names=["cell", "id"])
 
         return run
 
-    find_cells = lambda x: cells(stored(x), size)
-    find_probes = lambda x: probes(x, size, n_probes)
-    in_cell = vectors.mapInArrow(dealt(find_cells), "cell int, id long").checkpoint()
-    in_probe = queries.mapInArrow(dealt(find_probes), "cell int, id long").checkpoint()
+    find_cells = lambda x: cells(stored(x), size, layout)
+    find_probes = lambda x: probes(x, size, layout, n_probes)
+    in_cell = vectors.mapInArrow(dealt(find_cells), "cell long, id long").checkpoint()
+    in_probe = queries.mapInArrow(dealt(find_probes), "cell long, id long").checkpoint()
     found = _visited(in_cell, in_probe, vectors, queries, k, dimension).checkpoint()
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1)).select(F.col("query_id").alias("id"))
     short = queries.join(enough, "id", "left_anti").checkpoint()
     if short.isEmpty():
         return found
-    all_cells = short.select(F.explode(F.sequence(F.lit(0), F.lit(2 * size - 1))).alias("cell"), "id")
-    filled = _visited(in_cell.where(F.col("cell") < 2 * size), all_cells, vectors, short, k, dimension)
+    first = layout.cells_in_table(size)
+    by_axis = in_cell.where(F.col("cell") < first).withColumn("cell", F.expr(f"cell div {first // (2 * size)}"))  # the first table by its first axis alone
+    all_cells = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * size - 1).cast("long"))).alias("cell"), "id")
+    filled = _visited(by_axis, all_cells, vectors, short, k, dimension)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(found.columns).union(filled)
 
 
 def _visited(in_cell: DataFrame, in_probe: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, dimension: int) -> DataFrame:
     """The ``k`` nearest of each query among the vectors that share a (cell, id) with it, compared block by block."""
     parts = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = parts(in_cell, "of_vectors").join(parts(in_probe, "of_queries"), "cell")  # at most 2 * size * TABLES rows
+    blocks = parts(in_cell, "of_vectors").join(parts(in_probe, "of_queries"), "cell").checkpoint()
+    beside = F.broadcast(blocks) if blocks.count() <= BROADCAST else blocks
 
     def spread(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         """Each row to its own block among ``own``, and to all blocks of the other side."""
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
-        return rows.join(F.broadcast(blocks), "cell").select("cell", "id", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
+        return rows.join(beside, "cell").select("cell", "id", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
 
     left = spread(in_cell, "of_vectors", "of_queries", ("vb", "qb")).join(vectors, "id").select("cell", "vb", "qb", "id", "v")
     right = spread(in_probe, "of_queries", "of_vectors", ("qb", "vb")).join(queries, "id").select("cell", "vb", "qb", F.col("id").alias("id"), F.col("v").alias("v"))
@@ -219,15 +266,26 @@ def _visited(in_cell: DataFrame, in_probe: DataFrame, vectors: DataFrame, querie
     return ranked(found.distinct(), k)
 
 
-def _probes_needed(sample: tuple[np.ndarray, np.ndarray], vectors: DataFrame, k: int, dimension: int, size: int, stored) -> int:
-    """The fewest probes a table with which TARGET of the exact answers to the sample are met."""
+def _chosen(sample: tuple[np.ndarray, np.ndarray], vectors: DataFrame, k: int, dimension: int, size: int, stored, n_queries: int, n_vectors: int) -> tuple[Layout, int]:
+    """The layout that costs least, and the fewest probes a table with which it meets TARGET of the exact answers to the sample."""
     ids, matrix = sample
     if not len(ids):
-        return 1
+        return LAYOUTS[0], 1
     answers = exact(sample, vectors, k, dimension).join(vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()
     if not answers:
-        return 1
-    order = {q: probes(matrix[n : n + 1], size, 2 * size)[0] for n, q in enumerate(ids.tolist())}
-    home = cells(stored(np.array([x["v"] for x in answers], dtype=np.float64)), size)
-    needed = [min(int(np.flatnonzero(order[x["query_id"]][t] == home[n, t])[0]) for t in range(TABLES)) + 1 for n, x in enumerate(answers)]
-    return int(np.sort(needed)[max(0, math.ceil(TARGET * len(needed)) - 1)])
+        return LAYOUTS[0], 1
+    row_of = {q: n for n, q in enumerate(ids.tolist())}
+    asked, found = matrix[[row_of[x["query_id"]] for x in answers]], stored(np.array([x["v"] for x in answers], dtype=np.float64))
+    some = stored(np.array([x["v"] for x in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], dtype=np.float64))
+    best_ = None
+    for layout in LAYOUTS:
+        needed = np.concatenate([probes_to(asked[at : at + 500], found[at : at + 500], size, layout) for at in range(0, len(asked), 500)])
+        count = int(np.sort(needed)[max(0, math.ceil(TARGET * len(needed)) - 1)])
+        if count > 2 * size:  # more cells than a table of one axis has
+            continue
+        home, visited = cells(some, size, layout), probes(matrix[:ASKED], size, layout, count)
+        share = np.mean([sum(np.isin(home[:, t], v[t]).mean() for t in range(layout.tables)) for v in visited])
+        cost = share * n_queries * n_vectors + SEND * layout.tables * (n_vectors + count * n_queries)
+        if best_ is None or cost < best_[0]:
+            best_ = cost, layout, count
+    return best_[1:]
