@@ -453,3 +453,23 @@ def test_media_audit(spark, tmp_path):
     episodes = spark.createDataFrame(rows, "episode_key string, primary_video_path string, wrist_video_path string")
     assert sorted(tuple(r) for r in missing_media(episodes, str(tmp_path)).collect()) == [("e2", "v/b.mp4", "empty"), ("e2", "v/z.mp4", "missing")]
     assert [r[0] for r in leftovers(episodes, str(tmp_path)).collect()] == ["v/c.mp4.tmp"]
+
+
+def test_a_ledger_is_written_by_several_tasks(spark, tmp_path):
+    """Many keys in a few files: their rows are written and met where they are, not in one task."""
+    root, conf = str(tmp_path), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("episode_key"), F.col("id").cast("string").alias("episode_id"), F.lit(0).cast("long").alias("frame_index"))
+    steps = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in STEP_SCHEMA if f.name not in rows.columns})
+    store.append_buckets(steps.select([f"`{f.name}`" for f in STEP_SCHEMA]), f"{root}/steps", 1, buckets=2)
+    (tmp_path / "steps" / "key_bucket=0" / "torn.parquet").write_bytes(b"PAR1")
+    spark.conf.set(conf, "false")
+    try:
+        ledger.note(spark, root)
+    finally:
+        spark.conf.unset(conf)
+    noted = ledger.read_ledger(spark, root)
+    sizes = [r["n"] for r in noted.groupBy(F.input_file_name()).agg(F.count("episode_key").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    assert [(r["path"], r["length"]) for r in noted.where("episode_key is null").collect()] == [("key_bucket=0/torn.parquet", 4)]
+    assert noted.where("episode_key is not null").select("episode_key").distinct().count() == 20_000 and ledger.note(spark, root) is not None
+    assert ledger.read_ledger(spark, root).count() == 20_001

@@ -49,8 +49,12 @@ def note(spark: SparkSession, root: str, files: DataFrame | None = None) -> Data
     if len(unknown) > FILES:
         return None
     if unknown:
+        new, names = F.broadcast(spark.createDataFrame(unknown, "path string, length long")), [c.split()[0] for c in LEDGER.split(", ")]
         found = frame_checks(steps_of(spark, root, [r["path"] for r in unknown]), "path", "episode_key", "attempt", deal=("episode_key",))
-        spark.createDataFrame(unknown, "path string, length long").join(found, "path", "left").select([c.split()[0] for c in LEDGER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+        found.join(new, "path").select(names).write.mode("append").parquet(f"{root}/ledger")  # where they are: a file's keys don't meet in one task
+        kinds = StructType.fromDDL(LEDGER)
+        empty = new.join(read_ledger(spark, root).select("path", "length").distinct(), ["path", "length"], "left_anti")
+        empty.select([F.col(n) if n in ("path", "length") else F.lit(None).cast(kinds[n].dataType).alias(n) for n in names]).coalesce(1).write.mode("append").parquet(f"{root}/ledger")
     return files
 
 
@@ -63,7 +67,8 @@ def complete(spark: SparkSession, root: str, read: Callable[[SparkSession, str,
     if files is None:
         return None
     tried = F.coalesce("attempt", F.lit(-1).cast("long")).alias("attempt")
-    known = files.join(read_ledger(spark, root), ["path", "length"]).where("episode_key is not null").select("path", "episode_key", tried, "n_rows", "lo", "hi", "n_distinct").distinct()
+    few = files.limit(FILES + 1).count() <= FILES  # then each may have many keys, which would meet in one task
+    known = (F.broadcast(files) if few else files).join(read_ledger(spark, root), ["path", "length"]).where("episode_key is not null").select("path", "episode_key", tried, "n_rows", "lo", "hi", "n_distinct").distinct()
     known = known.checkpoint()
     shared = known.groupBy("episode_key", "attempt").agg(F.count(F.lit(1)).alias("n_files")).where("n_files > 1").select("episode_key", "attempt")
     several = [r["path"] for r in known.join(shared, ["episode_key", "attempt"]).select("path").distinct().limit(FILES + 1).collect()]
