@@ -70,3 +70,19 @@ def test_trees_of_odd_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="same depth"):
         D.differences(spark, some, tree([("a", 1)], depth=2))
     assert (D.depth_for(0), D.depth_for(256), D.depth_for(257), D.depth_for(10**6), D.depth_for(10**9)) == (0, 0, 1, 2, 3)
+
+
+def test_names_and_digests_are_sent_as_bytes(spark, tmp_path, monkeypatch):
+    sent, packed = [], D._packed
+    monkeypatch.setattr(D, "_packed", lambda name: (sent.append(name), packed(name))[1])
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for path, frame in ((a, rows(spark, 2000)), (b, change(rows(spark, 2000)))):
+        D.write_tree(frame, "k", path, depth=1)
+    assert found(D.differences(spark, a, b)) == {"5": (1, 1), "1234": (1, 1), "77": (1, 0), "-3": (0, 1)} and {"node", "digest"} <= set(sent)
+    leaves, digest = D.read_level(spark, a, 2), D.read_level(spark, a, 0).first()["digest"]
+    nodes = {}
+    for r in sorted(leaves.collect(), key=lambda r: r["node"]):
+        nodes.setdefault(r["parent"], []).append(r["digest"])
+    assert all(len(d) == 64 and d == d.lower() for own in nodes.values() for d in own)
+    own = [hashlib.sha256("\n".join(nodes[p]).encode()).hexdigest() for p in sorted(nodes)]
+    assert hashlib.sha256("\n".join(own).encode()).hexdigest() == digest

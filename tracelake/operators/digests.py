@@ -31,6 +31,15 @@ def _above(name: Column | str, levels: int) -> Column:
     return F.substr(name, F.lit(1), F.lit(DIGITS * levels))
 
 
+def _packed(digits: str) -> Column:
+    """Hexadecimal digits as bytes, half as many, in which names and digests are sent; their order is the same."""
+    return F.unhex(digits).alias(digits)
+
+
+def _digits(packed: Column | str) -> Column:
+    return F.lower(F.hex(packed))
+
+
 def write_tree(frame: DataFrame, key: str, path: str, columns: Sequence[str] | None = None, depth: int | None = None) -> None:
     """Write the digest tree of ``frame`` to ``path``: a folder for each level, with (parent, node, key, digest, n).
 
@@ -40,15 +49,17 @@ def write_tree(frame: DataFrame, key: str, path: str, columns: Sequence[str] | N
     few nodes are read from few row groups. A null key is a key of its own. An empty table has levels without rows.
     """
     depth = depth_for(frame.count()) if depth is None else depth
-    row = F.sha2(canonical_json(*(columns or frame.columns)), 256)
-    rows = frame.select(F.col(f"`{key}`").cast("string").alias("key"), row.alias("row")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))
+    row = F.unhex(F.sha2(canonical_json(*(columns or frame.columns)), 256))
+    rows = frame.select(F.col(f"`{key}`").cast("string").alias("key"), row.alias("row")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("n")).withColumn("row", _digits("row"))
     name = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), "key"), F.lit("")), F.lit("/"), "row"))
     level = rows.select(_above(name, depth).alias("parent"), name.alias("node"), "key", F.sha2(F.concat("row", F.lit("*"), F.col("n").cast("string")), 256).alias("digest"), "n")
     for k in range(depth, -1, -1):
         place = f"{path.rstrip('/')}/level={k + 1}"
-        level.repartitionByRange("parent").sortWithinPartitions("parent", "node").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(place)
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        joined = F.array_join(F.transform(children, lambda x: x["digest"]), "\n")
+        dealt = level.select("parent", _packed("node"), "key", _packed("digest"), "n").repartitionByRange("parent")
+        written = dealt.select("parent", _digits("node").alias("node"), "key", _digits("digest").alias("digest"), "n")
+        written.sortWithinPartitions("parent", "node").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(place)
+        children = F.array_sort(F.collect_list(F.struct(_packed("node"), _packed("digest"))))
+        joined = F.array_join(F.transform(children, lambda x: _digits(x["digest"])), "\n")
         nodes = read_level(frame.sparkSession, path, k + 1).groupBy("parent").agg(F.sha2(joined, 256).alias("digest"), F.sum("n").alias("n"))
         level = nodes.select(_above("parent", max(0, k - 1)).alias("parent"), F.col("parent").alias("node"), F.lit(None).cast("string").alias("key"), "digest", "n")
     level.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/level=0")
@@ -91,8 +102,8 @@ def differences(spark: SparkSession, old: str, new: str) -> Difference:
                 rows = rows.where(F.col("parent").isin(parents))
             elif unequal is not None:
                 rows = rows.join(unequal.select(F.col("node").alias("parent")), "parent", "left_semi")
-            sides.append(rows.observe(seen, F.count(F.lit(1)).alias("n")).select("node", F.col("key").alias(f"key_{side}"), F.col("digest").alias(side)))
-        unequal = sides[0].join(sides[1], "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).checkpoint()
+            sides.append(rows.observe(seen, F.count(F.lit(1)).alias("n")).select(_packed("node"), F.col("key").alias(f"key_{side}"), F.unhex("digest").alias(side)))
+        unequal = sides[0].join(sides[1], "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).withColumn("node", _digits("node")).checkpoint()
         total += sum(map(_rows_seen, counts))
         names = [r["node"] for r in unequal.select("node").limit(NAMED + 1).collect()] if level < last else []
         if level < last and not names:
