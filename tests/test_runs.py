@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake import report
-from tracelake.operators import compaction, ledger, store
+from tracelake.operators import compaction, ledger, runner, store
 from tracelake.operators import metrics as M
 from tracelake.operators.audit import damage, leftovers, missing_media
 from tracelake.operators.runner import TrialSpec, run_plan, same_seed, task_profile
@@ -473,3 +473,33 @@ def test_a_ledger_is_written_by_several_tasks(spark, tmp_path):
     assert [(r["path"], r["length"]) for r in noted.where("episode_key is null").collect()] == [("key_bucket=0/torn.parquet", 4)]
     assert noted.where("episode_key is not null").select("episode_key").distinct().count() == 20_000 and ledger.note(spark, root) is not None
     assert ledger.read_ledger(spark, root).count() == 20_001
+
+
+def test_cohorts_run_the_same_code(spark, tmp_path):
+    """After the first cohorts nothing is compiled: a cohort's number is no part of its code."""
+    compiled, counter = [], spark.sparkContext._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    run = run_plan(plan(spark, ids=range(4)), spec(), str(tmp_path), cohort_size=2, layout="bucket", checkpoint=lambda: compiled.append(counter.getCount()))
+    assert len(compiled) == 4 and compiled[1] == compiled[3]
+    assert run.episodes.count() == 8 and store.read_attempts(spark, f"{run.path}/steps", STEP_SCHEMA).select("attempt").distinct().count() == 4
+
+
+def test_a_new_run_is_not_numbered_again(spark, tmp_path, monkeypatch):
+    """All rows are pending, so their index tells their cohort; those that a resume finds pending are numbered."""
+    asked = []
+    monkeypatch.setattr(runner, "cohorts", lambda *args, own=runner.cohorts, **more: asked.append(more["n_rows"]) or own(*args, **more))
+    golden(run := run_plan(plan(spark), spec(), str(tmp_path), cohort_size=2))
+    assert asked == []
+    for path in list(pathlib.Path(run.path, "episodes").glob("episode_key=*"))[:4]:
+        shutil.rmtree(path)
+    golden(run_plan(plan(spark), spec(), str(tmp_path), cohort_size=3))
+    assert asked == [4]
+
+
+def test_ledger_decodes_paths(spark, tmp_path, base):
+    run = copied(spark, base, tmp_path, "bucket")
+    odd = steps_files(run)[0].with_name("a b%20+c.parquet")
+    shutil.copy(steps_files(run)[0], odd)
+    known = ledger.steps_of(spark, run.path, [f"{odd.parent.name}/{odd.name}"])
+    assert {r["path"] for r in known.select("path").collect()} == {f"{odd.parent.name}/a%20b%2520+c.parquet"}  # decoded once a key
+    ledger.note(spark, run.path)
+    assert f"{odd.parent.name}/{odd.name}" in {r["path"] for r in ledger.read_ledger(spark, run.path).where("episode_key is not null").collect()}

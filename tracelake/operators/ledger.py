@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import EPISODE_SCHEMA, STEP_SCHEMA
-from ..sources.files import decoded, exists, list_files, qualified, relative
+from ..sources.files import decoded, exists, list_files
 from .metrics import frame_checks, gapless
 
 LEDGER = "path string, length long, episode_key string, attempt long, n_rows long, lo long, hi long, n_distinct long"
@@ -34,10 +34,10 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
 
 
 def steps_of(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(path, episode_key, attempt, frame_index) of the readable rows of some step files."""
+    """(path, episode_key, attempt, frame_index) of the readable rows of some step files; the path is escaped, as scans have it."""
     base = f"{root}/steps"
     rows = spark.read.schema(_STEPS).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
-    path = relative(qualified(spark, base), decoded("_metadata.file_path")).alias("path")
+    path = F.substring_index("_metadata.file_path", "/", -2).alias("path")  # a folder and a name
     return rows.where("episode_id is not null").select(path, "episode_key", "attempt", "frame_index")
 
 
@@ -51,7 +51,8 @@ def note(spark: SparkSession, root: str, files: DataFrame | None = None) -> Data
     if unknown:
         new, names = F.broadcast(spark.createDataFrame(unknown, "path string, length long")), [c.split()[0] for c in LEDGER.split(", ")]
         found = frame_checks(steps_of(spark, root, [r["path"] for r in unknown]), "path", "episode_key", "attempt", deal=("episode_key",))
-        found.join(new, "path").select(names).write.mode("append").parquet(f"{root}/ledger")  # where they are: a file's keys don't meet in one task
+        # where they are: a file's keys don't meet in one task; paths are decoded once a key, not once a step
+        found.withColumn("path", decoded("path")).join(new, "path").select(names).write.mode("append").parquet(f"{root}/ledger")
         kinds = StructType.fromDDL(LEDGER)
         empty = new.join(read_ledger(spark, root).select("path", "length").distinct(), ["path", "length"], "left_anti")
         empty.select([F.col(n) if n in ("path", "length") else F.lit(None).cast(kinds[n].dataType).alias(n) for n in names]).coalesce(1).write.mode("append").parquet(f"{root}/ledger")

@@ -174,9 +174,10 @@ def run_plan(
 
     The run's id follows from the function, the benchmark, the plan's content, the schemas' version, and what the caller says of the code (``implementation``, such as a
     digest of it) and of the ``environment`` (such as versions of packages); a change of any of them is another run. Pending rows are the plan without the
-    keys whose steps are complete, as the run's ledger of step files tells; they are written down before the first cohort, as the tables they come from are about to change. Each cohort's traces
-    are staged, so the function runs once; then steps are written, then episodes: an episode row is the mark that its steps are there. A failure loses the cohort at
-    most; by default there are up to COHORTS of them. Cohorts are chosen by a filter; no row passes through the driver. If nothing is pending, no function is made. What is
+    keys whose steps are complete, as the run's ledger of step files tells; they are written down before the first cohort, as the tables they come from are about to change. Of a new
+    run all rows are pending and have their places already, so they are written by cohort at once. Each cohort's traces are staged, so the function runs once; then steps are
+    written, then episodes: an episode row is the mark that its steps are there. A failure loses the cohort at most; by default there are up to COHORTS of them. Cohorts are
+    chosen by a filter; no row passes through the driver. If nothing is pending, no function is made. What is
     staged below ``out`` goes when the call ends, well or not.
     """
     spark = plan.sparkSession
@@ -193,36 +194,40 @@ def run_plan(
         run_id = identity(config)
         root = f"{out.rstrip('/')}/{run_id}"
         write_manifest(spark, root, run_id, config)
-        left = pending_rows(whole.rows, completed(spark, root)) if exists(spark, f"{root}/episodes") else whole.rows
-        seen, names = Observation(), [f.name for f in PLAN_SCHEMA]
-        left.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{staging}/pending")
-        n_left = seen.get["n"]
+        rows, n_left, names, begun = whole.rows, whole.n_rows, [f.name for f in PLAN_SCHEMA], exists(spark, f"{root}/episodes")
+        if begun:
+            left, seen = pending_rows(rows, completed(spark, root)), Observation()
+            left.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{staging}/pending")
+            rows, n_left = spark.read.schema(left.schema).parquet(f"{staging}/pending"), seen.get["n"]
         if not n_left:
             return read_run(spark, root)
-        rows = spark.read.schema(left.schema).parquet(f"{staging}/pending")
         parallel = spark.sparkContext.defaultParallelism
         size = cohort_size or max(4 * parallel, 1000, math.ceil(n_left / COHORTS))
         count = math.ceil(n_left / size)
         if count > 1:  # a cohort reads its own folder only
-            split = cohorts(rows, size, "episode_index", n_rows=n_left)
-            split.repartition("cohort").write.partitionBy("cohort").parquet(f"{staging}/cohorts")
+            split = cohorts(rows, size, "episode_index", n_rows=n_left).repartition("cohort") if begun else rows.withColumn("cohort", F.floor(F.col("episode_index") / size).cast("long"))
+            split.write.partitionBy("cohort").parquet(f"{staging}/cohorts")
             rows = spark.read.schema(split.schema).parquet(f"{staging}/cohorts")
-        kinds = StructType([*PLAN_SCHEMA.fields, *TRACE_SCHEMA.fields, *StructType.fromDDL(f"timing struct<{_fields(TIMING_DDL)}>").fields])
+        elif not begun:
+            rows.write.parquet(f"{staging}/pending")
+            rows = spark.read.schema(rows.schema).parquet(f"{staging}/pending")
+        kinds = StructType([*PLAN_SCHEMA.fields, *TRACE_SCHEMA.fields, *StructType.fromDDL(f"timing struct<{_fields(TIMING_DDL)}>, attempt long").fields])
         attempt, order = int(time.time() * 1000), ("task_key", "seed", "episode_index")
         for number in range(count):
             part = (rows.where(F.col("cohort") == number) if count > 1 else rows).select(names)
             dealt = part.repartitionByRange(max(1, min(parallel, size)), *order).sortWithinPartitions(*order)
-            staged, timed = f"{staging}/cohort={number}", Observation()
+            # the attempt is a column by its folder: as a literal it would be a part of generated code, which each cohort would compile and run cold
+            staged, timed = f"{staging}/traces/attempt={attempt + number}", Observation()
             done = execute(dealt, spec, batch)
             done.observe(timed, F.count("timing").alias("n"), *unusable(kinds["timing"].dataType.names, "timing.")).write.parquet(staged)
-            traces, found = spark.read.schema(kinds).parquet(staged), timed.get
+            traces, found = spark.read.schema(kinds).option("basePath", f"{staging}/traces").parquet(staged), timed.get
             no_nan(found)
             if layout == "key":
                 write_partitions(step_table(traces), f"{root}/steps")
                 write_partitions(episode_table(traces), f"{root}/episodes")
             else:
-                append_buckets(step_table(traces), f"{root}/steps", attempt + number)
-                append_buckets(episode_table(traces), f"{root}/episodes", attempt + number)
+                append_buckets(step_table(traces, "attempt"), f"{root}/steps")
+                append_buckets(episode_table(traces, "attempt"), f"{root}/episodes")
             if found["n"]:
                 traces.where("timing is not null").select("timing.*").write.mode("append").json(f"{root}/timings")
             delete(spark, staged)

@@ -31,10 +31,11 @@ def write_partitions(frame: DataFrame, root: str, by: str = "episode_key") -> No
     frame.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
 
 
-def append_buckets(frame: DataFrame, root: str, attempt: int, buckets: int = BUCKETS) -> None:
-    """Append rows of one attempt to their buckets."""
+def append_buckets(frame: DataFrame, root: str, attempt: int | None = None, buckets: int = BUCKETS) -> None:
+    """Append rows of one attempt to their buckets; without a number the frame's column ``attempt`` tells it."""
+    added = {} if attempt is None else {"attempt": F.lit(attempt).cast("long")}
     bucket = F.pmod(F.xxhash64("episode_key"), F.lit(buckets)).cast("int")
-    frame.withColumns({"key_bucket": bucket, "attempt": F.lit(attempt).cast("long")}).repartition("key_bucket").write.partitionBy("key_bucket").mode("append").parquet(root)
+    frame.withColumns({"key_bucket": bucket, **added}).repartition("key_bucket").write.partitionBy("key_bucket").mode("append").parquet(root)
 
 
 def read_table(spark: SparkSession, root: str, schema: StructType) -> DataFrame:

@@ -15,9 +15,9 @@ from ..schemas import ACTION_SIZE, EPISODE_SCHEMA, POSITION_SIZE, STATE_SIZE, ST
 _SIZES = {"action": ACTION_SIZE, "observation.state": STATE_SIZE, "observation.eef_position": POSITION_SIZE}
 
 
-def cast_to(frame: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns, each cast to its type."""
-    return frame.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+def cast_to(frame: DataFrame, schema: StructType, *more: str) -> DataFrame:
+    """The schema's columns, each cast to its type, and ``more`` as they are."""
+    return frame.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema], *more)
 
 
 def checked(frame: DataFrame) -> DataFrame:
@@ -25,14 +25,14 @@ def checked(frame: DataFrame) -> DataFrame:
     return frame.withColumns({n: sized(F.col(f"`{n}`"), size, n) for n, size in _SIZES.items() if n in frame.columns})
 
 
-def step_table(traces: DataFrame) -> DataFrame:
-    """One row per step of nested traces; a trace without steps gives none."""
-    rows = traces.select("episode_index", "episode_key", "episode_id", "task_key", F.explode("steps").alias("_step"))
-    return checked(cast_to(rows.select("episode_index", "episode_key", "episode_id", "task_key", "_step.*"), STEP_SCHEMA))
+def step_table(traces: DataFrame, *more: str) -> DataFrame:
+    """One row per step of nested traces, with ``more`` columns of its trace; a trace without steps gives none."""
+    own = ["episode_index", "episode_key", "episode_id", "task_key", *more]
+    return checked(cast_to(traces.select(*own, F.explode("steps").alias("_step")).select(*own, "_step.*"), STEP_SCHEMA, *more))
 
 
-def episode_table(traces: DataFrame) -> DataFrame:
-    """One row per trace; what was resolved at run time stands for what was planned."""
+def episode_table(traces: DataFrame, *more: str) -> DataFrame:
+    """One row per trace, with ``more`` of its columns; what was resolved at run time stands for what was planned."""
     renamed = traces.withColumns(
         {
             "length": F.col("num_steps"),
@@ -40,7 +40,7 @@ def episode_table(traces: DataFrame) -> DataFrame:
             "instruction": resolved(F.col("resolved_instruction"), F.col("instruction")),
         }
     )
-    return cast_to(renamed, EPISODE_SCHEMA)
+    return cast_to(renamed, EPISODE_SCHEMA, *more)
 
 
 def nest(steps: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], name: str = "steps") -> DataFrame:

@@ -49,7 +49,7 @@ def q_resume_run(spark, sf_dir):
     Only the episodes whose steps are gone are pending in the second run.
     """
     ship(spark)
-    plan = grid.expand_grid(_tasks(spark, sf_dir), "parts", "1", 1)
+    plan = grid.expand_grid(_tasks(spark, sf_dir).repartition("task_id"), "parts", "1", 1)  # the table has few files; all tasks make the plan
     out = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/runs/{uuid.uuid4().hex}"
     again = lambda: run_plan(plan, TrialSpec(ClosedForm, "closed-form", "1"), out, cohort_size=200_000, batch=64, layout="bucket")
     files, lost = hadoop(spark, f"{again().path}/steps/key_bucket=0")

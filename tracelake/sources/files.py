@@ -138,8 +138,8 @@ def _scanned(spark: SparkSession, root: str, base: str, names: str, deep: bool)
 
 
 def decoded(path: str) -> Column:
-    """A path as a scan's metadata has it, without escapes."""
-    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    """A path as a scan's metadata has it, without escapes; most have none."""
+    return F.when(F.contains(F.col(path), F.lit("%")), F.url_decode(F.regexp_replace(path, r"\+", "%2B"))).otherwise(F.col(path))
 
 
 def delete(spark: SparkSession, path: str) -> None:
